@@ -7,17 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelore.llm import exact_dedup, line_dedup, packing, simhash
+from voxelore.llm import audio, exact_dedup, line_dedup, packing, simhash, toxicity
+from voxelore.llm.text import in_fold
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scores = toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+    return scores.select("doc_id", (in_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audio.audio_features(_read(spark, sf_dir, "documents"), stored=False)
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -34,7 +46,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op6_exact_dedup, op8_line_dedup, op9_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op4_best_fit_packing, op5_audio_features, op6_exact_dedup, op8_line_dedup, op9_simhash)}
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
