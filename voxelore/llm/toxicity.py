@@ -28,8 +28,8 @@ from voxelore.llm.text import in_fold
 
 HASH_BITS = 40
 #: Bounds of the fitting sample and of the model.
-TOXIC_ROWS, CLEAN_ROWS, SCREENED_TERMS, FREQUENT_TERMS = 8_000, 12_000, 1 << 14, 256
-FACTORS, EPOCHS, BATCH, SEED = 4, 8, 256, 7
+TOXIC_ROWS, CLEAN_ROWS, SCREENED_TERMS, FREQUENT_TERMS = 8_000, 12_000, 1 << 14, 64
+FACTORS, EPOCHS, BATCH, SEED = 4, 20, 256, 7
 MEMO = 300_000
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -110,7 +110,7 @@ def _active(known: dict[int, int]):
     return active
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, share: float, l2: float = 1e-4, rate: float = 0.1) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, share: float, l2: float = 1e-4, rate: float = 0.3) -> tuple[float, np.ndarray, np.ndarray]:
     """AdaGrad on the logistic loss in batches; share: the true share of label 1, to which the intercept is corrected."""
     rng = np.random.default_rng(SEED)
     w, v = np.zeros(n_terms), rng.normal(0, 0.02, (n_terms, FACTORS))
