@@ -85,11 +85,11 @@ PLAIN = [
 FAMILIES = [UNKNOWN, *sorted(TEMPLATES)]
 
 
-def grams(text: Column) -> Column:
-    """Distinct words of six or more characters and pairs of neighbouring words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9.\-]+|[.\-]+(?![a-z0-9])", " ")), " +")
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
-    return F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) >= 6), F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))))
+def with_grams(rows: DataFrame) -> DataFrame:
+    """Adds grams, the distinct words of six or more characters and pairs of neighbouring words of the column line."""
+    rows = rows.withColumn("words", F.split(F.trim(F.regexp_replace(F.lower("line"), r"[^a-z0-9.\-]+|[.\-]+(?![a-z0-9])", " ")), " "))
+    pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
+    return rows.withColumn("grams", F.array_distinct(F.concat(F.filter("words", lambda w: F.length(w) >= 6), pairs))).drop("words")
 
 
 def _windows() -> list[tuple[int, str]]:
@@ -108,19 +108,26 @@ def _paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.col("line") != "")
 
 
+def _log_loss(heat: float) -> Column:
+    """Of a row's label under the softmax of z / heat."""
+    top = F.array_max("z")
+    total = F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp((z - top) / heat))
+    return F.log(total) - (F.get("z", F.col("label")) - top) / heat
+
+
 def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The model as a table: gram (the empty one for the intercepts), w (a weight for each family), own (1 where the family's templates have it)."""
-    known = spark.createDataFrame(_windows(), "label int, line string").withColumn("grams", grams(F.col("line")))
+    known = with_grams(spark.createDataFrame(_windows(), "label int, line string"))
     unknown = _paragraphs(docs.where(F.abs(F.xxhash64(F.col(id_col), F.col(text_col))) % 16 == 0), id_col, text_col)
     unknown = unknown.where(~F.lower("line").rlike("licen[cs]e|copyright|public domain")).select("line", F.xxhash64("line").alias("h")).distinct().orderBy("h", "line").limit(UNKNOWN_ROWS)
-    rows = written(known.unionByName(unknown.select(F.lit(0).alias("label"), "line", grams(F.col("line")).alias("grams"))), "licence-rows")
+    rows = written(known.unionByName(with_grams(unknown.select(F.lit(0).alias("label"), "line"))), "licence-rows")
     rows = rows.withColumn("label", F.col("label").cast("double")).withColumn("held", F.pmod(F.xxhash64("line"), F.lit(5)) == 0)
     counts = CountVectorizer(inputCol="grams", outputCol="x", vocabSize=MAX_GRAMS, binary=True).fit(rows.where("label > 0"))
     rows = counts.transform(rows)
     fitted = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=0.002, maxIter=60).fit(rows.where("not held"))
     scored = fitted.transform(rows.where("held")).select(F.col("label").cast("int").alias("label"), vector_to_array("rawPrediction").alias("z"))
     heat = [0.4, 0.5, 0.65, 0.8, 1.0, 1.25, 1.6, 2.0, 3.0]
-    loss = [F.avg(F.log(F.aggregate("z", F.lit(0.0), lambda a, z, t=t: a + F.exp((z - F.array_max("z")) / t))) - (F.get("z", F.col("label")) - F.array_max("z")) / t).alias(f"t{k}") for k, t in enumerate(heat)]
+    loss = [F.avg(_log_loss(t)).alias(f"t{k}") for k, t in enumerate(heat)]
     losses = scored.agg(*loss).first()
     best = min(((v, heat[k]) for k, v in enumerate(losses) if v is not None), default=(0, 1.0))[1]
     matrix = fitted.coefficientMatrix.toArray() / best
@@ -137,7 +144,7 @@ def scan(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: st
     n = len(FAMILIES)
     base = model.where("gram = ''").first()["w"]
     flat = model.where("gram <> ''").select("gram", *[F.get("w", k).alias(f"w{k}") for k in range(n)], *[F.get("own", k).alias(f"o{k}") for k in range(n)])
-    rows = _paragraphs(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).withColumn("grams", grams(F.col("line")))
+    rows = with_grams(_paragraphs(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     rows = rows.select("row", "doc_id", "paragraph", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
     hits = rows.join(F.broadcast(flat), "gram")  # MAX_GRAMS rows at most
     sums = hits.groupBy("row", "doc_id", "paragraph", "n_grams").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(n)], *[F.sum(f"o{k}").alias(f"o{k}") for k in range(n)])
