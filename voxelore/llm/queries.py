@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelore.llm import audio, exact_dedup, html_text, licenses, line_dedup, mixing, packing, simhash, toxicity
+from voxelore.llm import attention_lm, audio, exact_dedup, html_text, licenses, line_dedup, mixing, packing, simhash, toxicity
 from voxelore.llm.text import in_fold
 
 
@@ -52,6 +52,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = attention_lm.lm_scores(_read(spark, sf_dir, "documents"))
+    held = (in_fold(F.col("doc_id"), attention_lm.FOLDS) == 0).alias("held_out")
+    return rows.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", exact_dedup.sha256(F.col("kept_text")).alias("kept_sha256"))
@@ -69,7 +75,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_toxicity, op2_source_mixing, op3_html_text, op4_best_fit_packing, op5_audio_features, op6_exact_dedup, op8_line_dedup, op9_simhash, op10_license_scan,
+        op1_toxicity, op2_source_mixing, op3_html_text, op4_best_fit_packing, op5_audio_features, op6_exact_dedup, op7_attention_lm, op8_line_dedup, op9_simhash, op10_license_scan,
     )}
 
 
