@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelore.llm import exact_dedup, packing, simhash
+from voxelore.llm import exact_dedup, mixing, packing, simhash, toxicity
+from voxelore.llm.queries import MIX_WEIGHTS, mix_levels
 from voxelore.llm.store import written
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model fitted on the labels rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.clean_rows(docs, toxicity.train(docs, labels))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept_rows(docs)
 
@@ -18,17 +25,24 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that a document is taken into the mix."""
+    return mixing.mixed_rows(docs, mix_levels(), weights=MIX_WEIGHTS)
+
+
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
     ("exact_dedup", exact_stage),
     ("simhash", near_stage),
+    ("source_mixing", mix_stage),
     ("packing", pack_stage),
 ]
 
-#: No stage but the second can be written in SQL.
+#: Trained scores, fingerprints and packing can't be written in SQL.
 ORACLE_SQL = None
 
 
