@@ -111,8 +111,8 @@ def mixed_rows(docs: DataFrame, levels: dict[str, Column], id_col: str = "doc_id
     taken = select_mix(docs, levels, id_col=id_col, text_col=text_col, **how)
     # Rows with the same id and text are one row of docs here; each was taken by itself above.
     times = taken.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n"))
-    same = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row")).groupBy("id", "row").agg(F.count(F.lit(1)).alias("m"))
-    times = times.join(same, times["id"].eqNullSafe(same["id"]) & (times["row"] == same["row"]))
-    times = times.select(times["id"].alias("__id"), times["row"].alias("__row"), F.ceil(F.col("n") / F.col("m")).cast("int").alias("__times"))
+    same = docs.select(F.col(id_col).alias("same_id"), F.xxhash64(F.col(text_col)).alias("same_row")).groupBy("same_id", "same_row").agg(F.count(F.lit(1)).alias("m"))
+    times = times.join(same, F.col("id").eqNullSafe(F.col("same_id")) & (F.col("row") == F.col("same_row")))
+    times = times.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.ceil(F.col("n") / F.col("m")).cast("int").alias("__times"))
     both = docs.join(times, docs[id_col].eqNullSafe(times["__id"]) & (F.xxhash64(docs[text_col]) == times["__row"]))
     return both.withColumn("__times", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*docs.columns)
