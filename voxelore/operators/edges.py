@@ -64,15 +64,20 @@ def knn_edges(nodes: DataFrame, grid: Grid, k: int = NEIGHBOURS) -> DataFrame:
 
 
 def hetero_edges(edges: DataFrame) -> DataFrame:
-    """(src_type, rel, dst_type, src, dst, w) of the four edge types; frontier-to-free edges repeat the free side's weight."""
-    def typed(rows: DataFrame, a: int, rel: str, b: int, src: str = "s_local", dst: str = "t_local") -> DataFrame:
-        return rows.select(F.lit(NAMES[a]).alias("src_type"), F.lit(rel).alias("rel"), F.lit(NAMES[b]).alias("dst_type"), F.col(src).alias("src"), F.col(dst).alias("dst"), "w", "d")
-
-    kind = lambda a, b: edges.where((F.col("s_type") == a) & (F.col("t_type") == b))
-    out = typed(kind(FREE, FREE), FREE, "spatial", FREE)
-    out = out.unionByName(typed(kind(FREE, FRONTIER), FREE, "spatial", FRONTIER))
-    out = out.unionByName(typed(kind(FREE, FRONTIER), FRONTIER, "spatial", FREE, "t_local", "s_local"))
-    return out.unionByName(typed(kind(FRONTIER, FRONTIER), FRONTIER, "connects", FRONTIER))
+    """(src_type, rel, dst_type, src, dst, w, d) of the four edge types, in one pass.
+
+    Frontier-to-free edges are the free-to-frontier ones turned round with the same weight; those that the stencil itself
+    finds from the frontier's side are left out.
+    """
+    def ends(a: str, b: str) -> Column:
+        name = lambda side: F.when(F.col(f"{side}_type") == FREE, NAMES[FREE]).otherwise(NAMES[FRONTIER])
+        return F.struct(name(a).alias("src_type"), name(b).alias("dst_type"), F.col(f"{a}_local").alias("src"), F.col(f"{b}_local").alias("dst"))
+
+    mixed = (F.col("s_type") == FREE) & (F.col("t_type") == FRONTIER)
+    rows = edges.where(~((F.col("s_type") == FRONTIER) & (F.col("t_type") == FREE)))
+    rows = rows.withColumn("e", F.explode(F.when(mixed, F.array(ends("s", "t"), ends("t", "s"))).otherwise(F.array(ends("s", "t")))))
+    both = (F.col("e.src_type") == NAMES[FRONTIER]) & (F.col("e.dst_type") == NAMES[FRONTIER])
+    return rows.select("e.src_type", F.when(both, "connects").otherwise("spatial").alias("rel"), "e.dst_type", "e.src", "e.dst", "w", "d")
 
 
 def with_uid(nodes: DataFrame) -> DataFrame:

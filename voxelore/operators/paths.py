@@ -73,13 +73,18 @@ def edge_ends(unified: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _nearest_obstacle(samples: DataFrame, keys: list[str], voxels: DataFrame, grid: Grid, reach: float) -> DataFrame:
-    """Adds `near`, the distance to the nearest OCCUPIED centre, null beyond `reach`: an equi-join on the cells around."""
+    """Samples with `near`, the distance to the nearest OCCUPIED centre, where it is at most `reach`.
+
+    Candidates are found once for each cell: the nearest obstacle of any point in a cell is no farther from the cell's
+    centre than the centre's own nearest plus one diagonal. Samples then join the few candidates of their cell.
+    """
     cells = {f"i{k}": F.floor((F.col(f"p_{k}") - lo) / c).cast("long") for k, lo, c in zip("xyz", grid.lower, grid.cell, strict=True)}
-    pad = reach + grid.diag
-    steps = offsets(grid, pad)
-    around = shifted(samples.withColumns(cells).select(*keys, "p_x", "p_y", "p_z", "ix", "iy", "iz"), steps, grid).drop("d")
+    at = ["ix", "iy", "iz"]
+    own = samples.withColumns(cells).select(*keys, "p_x", "p_y", "p_z", *at)
     walls = voxels.where(F.col("node_type") == OCCUPIED).select(*[F.col(f"i{k}").alias(f"j{k}") for k in "xyz"], *[F.col(k).alias(f"o_{k}") for k in "xyz"])
-    hit = around.join(walls, ["jx", "jy", "jz"]).withColumn("d", distance("p", "o")).where(F.col("d") <= reach)
+    around = shifted(own.select(*at).distinct(), offsets(grid, reach + grid.diag), grid).join(walls, ["jx", "jy", "jz"])
+    around = around.withColumn("least", F.min("d").over(W.partitionBy(*at))).where(F.col("d") <= F.col("least") + grid.diag * (1 + 1e-9))
+    hit = own.join(around.select(*at, "o_x", "o_y", "o_z"), at).withColumn("d", distance("p", "o")).where(F.col("d") <= reach)
     return hit.groupBy(*keys).agg(F.min("d").alias("near"))
 
 

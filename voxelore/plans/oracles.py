@@ -221,3 +221,95 @@ ORACLE_SQL: dict[str, str] = {
         SELECT goal, node, {q('cost')} FROM sp""",
     "goal_cost_cache": P + "SELECT DISTINCT uid AS goal FROM sn WHERE pid % 2 = 1 AND uid NOT IN (SELECT uid FROM sn WHERE pid % 2 = 1 AND pid < 6)",
 }
+
+_PATHS = """
+pt AS (SELECT gid % 2 AS qid, gid // 2 AS seq, x, y, z, op AS f9, (gid // 2) % 2 AS node_type FROM g WHERE gid < 48),
+cnt AS (SELECT qid, count(*) AS k FROM pt GROUP BY qid),
+sgs AS (SELECT a.qid, a.seq, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2)) AS len FROM pt a JOIN pt b ON a.qid = b.qid AND b.seq = a.seq + 1),
+sct AS (SELECT DISTINCT p.qid, p.seq, least(s.seq // 5, 5) AS section, p.x, p.y, p.z, p.f9, p.node_type FROM pt p JOIN sgs s ON s.qid = p.qid AND p.seq IN (s.seq, s.seq + 1)),
+wd AS (SELECT qid, section, least(greatest(avg(CASE node_type WHEN 1 THEN 0.3::double + 0.4::double * f9 ELSE 0.5::double + 0.5::double * f9 END), 0), 1) AS width FROM sct GROUP BY qid, section)"""
+_WALLS = """
+wl AS (SELECT x, y, z FROM c WHERE node_type = -1),
+st AS (SELECT sgs.*, wl.*, pow(len, 2) AS l2, (x - ax) * (bx - ax) + (y - ay) * (by_ - ay) + (z - az) * (bz - az) AS dot FROM sgs, wl),
+su AS (SELECT *, CASE WHEN l2 < 1e-12 THEN 0 ELSE least(greatest(dot / l2, 0), 1) END AS t FROM st),
+cl AS (SELECT qid, seq, min(sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (by_ - ay), 2) + pow(z - az - t * (bz - az), 2))) AS clearance FROM su GROUP BY qid, seq),
+mt AS (SELECT pt.qid, count(*) AS n_points, avg(pow(p.x - 2 * pt.x + n.x, 2) + pow(p.y - 2 * pt.y + n.y, 2) + pow(p.z - 2 * pt.z + n.z, 2)) AS smoothness,
+              (SELECT sum(len) FROM sgs WHERE sgs.qid = pt.qid) AS path_length,
+              (SELECT min(sqrt(pow(o.x - wl.x, 2) + pow(o.y - wl.y, 2) + pow(o.z - wl.z, 2))) FROM pt o, wl WHERE o.qid = pt.qid) AS min_collision_dist
+       FROM pt LEFT JOIN pt p ON p.qid = pt.qid AND p.seq = pt.seq - 1 LEFT JOIN pt n ON n.qid = pt.qid AND n.seq = pt.seq + 1 GROUP BY pt.qid)"""
+_G, _GW = _with(BASE, _PATHS), _with(BASE, STD, _PATHS, _WALLS)
+
+_TUBE = """, ed AS (SELECT qid, section, arg_min(x, seq) AS ax, arg_min(y, seq) AS ay, arg_min(z, seq) AS az, arg_max(x, seq) AS bx, arg_max(y, seq) AS by_, arg_max(z, seq) AS bz FROM sct GROUP BY qid, section),
+        e1 AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2) + pow(bz - az, 2)) AS len FROM ed),
+        e2 AS (SELECT qid, section, (bx - ax) / (len + 1e-8) AS d0, (by_ - ay) / (len + 1e-8) AS d1, (bz - az) / (len + 1e-8) AS d2 FROM e1),
+        e3 AS (SELECT *, CASE WHEN abs(d0) > 0.9::double THEN 0 ELSE 1 END::double AS h0, CASE WHEN abs(d0) > 0.9::double THEN 1 ELSE 0 END::double AS h1 FROM e2),
+        e4 AS (SELECT *, d1 * 0 - d2 * h1 AS c0, d2 * h0 - d0 * 0 AS c1, d0 * h1 - d1 * h0 AS c2 FROM e3),
+        e5 AS (SELECT *, sqrt(c0*c0 + c1*c1 + c2*c2) + 1e-8 AS cn FROM e4),
+        e6 AS (SELECT *, c0 / cn AS u0, c1 / cn AS u1, c2 / cn AS u2 FROM e5),
+        e7 AS (SELECT *, d1 * u2 - d2 * u1 AS v0, d2 * u0 - d0 * u2 AS v1, d0 * u1 - d1 * u0 AS v2 FROM e6),
+        pj AS (SELECT e7.*, wd.width, x*d0 + y*d1 + z*d2 AS pd, x*u0 + y*u1 + z*u2 AS pu, x*v0 + y*v1 + z*v2 AS pv FROM sct JOIN e7 USING (qid, section) JOIN wd USING (qid, section)),
+        mx AS (SELECT qid, section, any_value(d0) AS d0, any_value(d1) AS d1, any_value(d2) AS d2, 0.02::double + 1.5::double * 0.08::double * (1 + 0.8::double * (1 - any_value(width))) AS pad,
+                      min(pd) AS nd, max(pd) AS xd, min(pu) AS nu, max(pu) AS xu, min(pv) AS nv, max(pv) AS xv FROM pj GROUP BY qid, section),
+        lt AS (SELECT *, greatest(greatest(abs(nu), abs(xu)) + pad, 0.05::double) AS lu, greatest(greatest(abs(nv), abs(xv)) + pad, 0.05::double) AS lv FROM mx)"""
+
+_COSTS = """
+co AS (SELECT gn.uid AS goal, n.uid AS node, n.*, sqrt(pow(n.x - gn.x, 2) + pow(n.y - gn.y, 2) + pow(n.z - gn.z, 2)) AS far FROM n, n gn WHERE gn.uid < 2),
+cc AS (SELECT *, 3 * far + f6 AS cost, 2 * far AS geo, 2.7::double * far + 0.1::double * f13 AS pred FROM co),
+tg AS (SELECT goal, node, cost, geo, pred, cost + 3 * (1 - least(greatest(f15, 0), 1)) + 1.5::double * greatest(f14, 0) + 1.6::double * sqrt(f3*f3 + f4*f4 + f5*f5) AS target FROM cc),
+rs AS (SELECT goal, greatest(avg(abs(target)), 1) AS scale, max(target) AS top, count(*) AS n FROM tg GROUP BY goal),
+pw AS (SELECT goal, avg(CASE WHEN gap < 1 THEN 0.5::double * gap * gap ELSE gap - 0.5::double END) AS mse, 0.1::double * avg(greatest(pred - target, 0)) AS over
+       FROM (SELECT *, abs(pred - target) / scale AS gap FROM tg JOIN rs USING (goal)) GROUP BY goal),
+pl AS (SELECT *, row_number() OVER (PARTITION BY goal ORDER BY node) - 1 AS place FROM tg),
+pk AS (SELECT goal, scale, n, unnest(range(least(2048, 4 * n))) AS k FROM rs WHERE n >= 8),
+rk AS (SELECT pk.goal, avg(greatest(0.05::double - (b.pred - a.pred) / scale * sign(b.target - a.target), 0)) AS rank FROM pk
+       JOIN pl a ON a.goal = pk.goal AND a.place = (k * 7919) % n JOIN pl b ON b.goal = pk.goal AND b.place = (k * 104729 + 13) % n
+       WHERE a.place <> b.place AND abs(b.target - a.target) > 0.005::double * scale GROUP BY pk.goal)"""
+_C, _CE = _with(BASE, STD, AROUND, NODES, _COSTS), _with(BASE, STD, AROUND, NODES, EDGES, _COSTS)
+
+
+def _mono(where: str) -> str:
+    return f""", ts AS (SELECT * FROM tg WHERE {where}), tr AS (SELECT goal, greatest(avg(abs(target)), 1) AS scale FROM ts GROUP BY goal),
+        mo AS (SELECT a.goal, avg(greatest(0.02::double * scale - (b.pred - a.pred) * sign(b.target - a.target), 0) / scale) AS mono
+               FROM ue JOIN ts a ON a.node = ue.src JOIN ts b ON b.node = ue.dst AND b.goal = a.goal JOIN tr ON tr.goal = a.goal WHERE abs(b.target - a.target) > 1e-4 GROUP BY a.goal)"""
+
+
+_STEP = ", ".join(f"0.28::double * (0.5::double * (p.{k} + n.{k}) - o.{k}) + 0.1::double * (p.{k} - 2 * o.{k} + n.{k}) AS d{k}" for k in "xyz")
+_MOVED = ", ".join(f"CASE WHEN px IS NULL OR nx IS NULL THEN {k} ELSE {k} + d{k} * CASE WHEN size > 0.01::double THEN 0.01::double / greatest(size, 1e-8) ELSE 1 END END AS {k}" for k in "xyz")
+
+ORACLE_SQL |= {
+    "path_profile": _G + f"""SELECT a.qid, a.seq, {q('1.5::double * (abs(b.z - c.z) + abs(a.z - b.z))', 'slope')}, {q('1.8::double * abs(a.z - 2 * b.z + c.z)', 'curvature')}
+        FROM pt a JOIN pt b ON b.qid = a.qid AND b.seq = a.seq - 1 JOIN pt c ON c.qid = a.qid AND c.seq = a.seq - 2""",
+    "path_sections": _G + "SELECT qid, seq, section FROM sct",
+    "corridor_width": _G + f"SELECT qid, section, {q('width')} FROM wd",
+    "corridor_tubes": _G + _TUBE + f"""SELECT qid, section, {qs('d0', 'd1', 'd2')}, {q('nd - pad', 'lo_d')}, {q('xd + pad', 'hi_d')}, {q('least(nu - pad, -lu)', 'lo_u')}, {q('greatest(xu + pad, lu)', 'hi_u')},
+        {q('least(nv - pad, -lv)', 'lo_v')}, {q('greatest(xv + pad, lv)', 'hi_v')} FROM lt""",
+    "segment_clearance": _GW + f"SELECT qid, seq, {q('clearance')} FROM cl",
+    "trajectory_collision": _GW + "SELECT qid, bool_or(clearance < 0.02::double) AS collides FROM cl GROUP BY qid",
+    "smooth_sweep": _G + f""", sw AS (SELECT o.qid, o.seq, o.x, o.y, o.z, p.x AS px, n.x AS nx, {_STEP} FROM pt o LEFT JOIN pt p ON p.qid = o.qid AND p.seq = o.seq - 1 LEFT JOIN pt n ON n.qid = o.qid AND n.seq = o.seq + 1),
+        sz AS (SELECT *, sqrt(dx*dx + dy*dy + dz*dz) AS size FROM sw), mv AS (SELECT qid, seq, {_MOVED} FROM sz) SELECT qid, seq, {qs('x', 'y', 'z')} FROM mv""",
+    "resample_polyline": _G + f""", ac AS (SELECT *, sum(len) OVER (PARTITION BY qid ORDER BY seq) AS upto, sum(len) OVER (PARTITION BY qid) AS total FROM sgs),
+        tn AS (SELECT DISTINCT qid, total, greatest(2, ceil(total / 0.05::double)::bigint + 1) AS n FROM ac), tk AS (SELECT qid, total, n, unnest(range(n)) AS k FROM tn),
+        hit AS (SELECT tk.qid, tk.k, arg_min(ac, ac.seq) AS s, any_value(k * (tk.total / (n - 1))) AS goal_at FROM tk JOIN ac ON ac.qid = tk.qid AND (ac.upto >= k * (tk.total / (n - 1)) - 1e-12) GROUP BY tk.qid, tk.k)
+        SELECT qid, k AS seq, {', '.join(q(f's.{a} + least(greatest((goal_at - (s.upto - s.len)) / s.len, 0), 1) * (s.{b} - s.{a})', k) for a, b, k in (('ax', 'bx', 'x'), ('ay', 'by_', 'y'), ('az', 'bz', 'z')))} FROM hit""",
+    "trajectory_metrics": _GW + f"SELECT qid, n_points, {qs('path_length', 'min_collision_dist', 'smoothness')} FROM mt",
+    "trial_summary": _GW + f"""SELECT 'own' AS planner, count(*) AS n, 1000000::bigint AS success_rate, {q('avg(path_length)', 'mean_path_length')}, {q('stddev_pop(path_length)', 'std_path_length')},
+        {q('avg(min_collision_dist)', 'mean_min_collision_dist')}, {q('avg(smoothness)', 'mean_smoothness')} FROM mt""",
+    "segment_softmax": E + f""", sx AS (SELECT src, dst, exp(least(greatest(5 * w - max(5 * w) OVER (PARTITION BY dst), -60), 60)) AS ex FROM ue)
+        SELECT src, dst, {q('ex / (sum(ex) OVER (PARTITION BY dst) + 1e-9)', 'alpha')} FROM sx""",
+    "random_pairs": """WITH r AS (SELECT i AS pair, (i * 1103515245 + 42 * 12345 + 12345) % 2147483648 % 1000 AS src, (i * 69069 + 42 * 7 + 1) % 2147483648 % 999 + 1 AS step FROM range(100) t(i))
+        SELECT pair, src, (src + step) % 1000 AS dst FROM r""",
+    "train_samples": _C + f""", en AS (SELECT goal, min(cost) AS lo, max(cost) AS hi, count(*) AS n, arg_min(node, cost) AS best FROM cc GROUP BY goal),
+        fl AS (SELECT cc.goal, node, cost, n, cost - lo <= 0.2::double * (hi - lo) AS band, cost - lo <= 0.01::double * greatest(hi - lo, 1) AS hard, node = best AS special FROM cc JOIN en USING (goal)),
+        lf AS (SELECT goal, least(700, any_value(n)) - count(*) FILTER (band) - count(*) FILTER (hard) - 1 AS lft FROM fl GROUP BY goal),
+        bg AS (SELECT goal, node, cost, row_number() OVER (PARTITION BY goal ORDER BY md5(goal || '|' || node), node) AS place FROM fl WHERE NOT (band OR hard OR special))
+        SELECT goal, node, {q('cost')} FROM fl WHERE band OR hard OR special UNION ALL SELECT bg.goal, node, {q('cost')} FROM bg JOIN lf ON lf.goal = bg.goal WHERE place <= greatest(lft, 16)""",
+    "composite_target": _C + f"SELECT goal, node, {q('target')} FROM tg",
+    "pointwise_loss": _C + f"SELECT goal, {qs('mse', 'over')} FROM pw",
+    "ranking_loss": _C + f"SELECT goal, {q('coalesce(rank, 0)', 'rank')} FROM rs LEFT JOIN rk USING (goal)",
+    "monotonic_loss": _CE + _mono("node % 3 <> 0") + f"SELECT goal, {q('mono')} FROM mo",
+    "simple_loss": _C + f"SELECT {q('avg(pow(pred - target, 2)) + 0.5::double * avg(greatest(pred - target, 0))', 'loss')} FROM tg",
+    "total_loss": _CE + _mono("true") + f""", en AS (SELECT goal, max(pred) AS sh, min(pred) AS gh FROM tg GROUP BY goal),
+        bi AS (SELECT goal, greatest(gh - 0.05::double * scale, 0) + greatest(abs(top - sh) - 0.1::double * greatest(top, 1), 0) AS bias FROM rs JOIN en USING (goal))
+        SELECT goal, {q('bias')}, {q('mse + over + 0.2::double * rank + 0.1::double * mono + 0.05::double * bias', 'loss')} FROM pw JOIN rk USING (goal) JOIN mo USING (goal) JOIN bi USING (goal)""",
+    "read_pairs": """SELECT * FROM (VALUES (0, 0.0::double, 1.0::double, 2.0::double, 3.0::double, 4.0::double, 5.0::double), (1, 1, 1, 1, 2, 2, 2)) t(pair, s_x, s_y, s_z, g_x, g_y, g_z)""",
+}

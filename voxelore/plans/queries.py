@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelore.functions.columns import quantised as q
-from voxelore.operators import classify, density, edges, features, hashgrid, paths
+from voxelore.operators import classify, corridor, density, edges, features, hashgrid, network, paths, search, training, trajectory
 from voxelore.operators.scene import bounds_filter, bounds_table, centers, scene_from_embeddings, with_inverse
 from voxelore.plans.standard import scene
+from voxelore.sources import scenes as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -303,3 +304,215 @@ def goal_cost_cache(spark, d):
     s = scene(spark, d)
     wanted = paths.snap(s.points, s.nodes, s.grid).where("pid % 2 = 1").select(F.col("uid").alias("goal"))
     return paths.missing_goals(wanted, _goals(s))
+
+
+# Paths: two of the scene's own points in turn, so that SQL can make the same ones
+
+
+def _paths(s) -> DataFrame:
+    g = s.gaussians.where("gid < 48")
+    return g.select((F.col("gid") % 2).alias("qid"), F.expr("cast(gid div 2 as int)").alias("seq"), "x", "y", "z", F.col("opacity").alias("f9"), (F.expr("cast(gid div 2 as int)") % 2).alias("node_type"))
+
+
+def _walls(s) -> DataFrame:
+    return s.voxels.where("node_type = -1").select("x", "y", "z")
+
+
+def _xyz(df: DataFrame) -> DataFrame:
+    return df.select("qid", F.col("seq").cast("long").alias("seq"), *_q("x", "y", "z"))
+
+
+@query
+def path_profile(spark, d):
+    return paths.path_profile(_paths(scene(spark, d))).where("slope is not null").select("qid", F.col("seq").cast("long").alias("seq"), *_q("slope", "curvature"))
+
+
+@query
+def path_sections(spark, d):
+    return corridor.sections(_paths(scene(spark, d))).select("qid", F.col("seq").cast("long").alias("seq"), F.col("section").cast("long").alias("section"))
+
+
+@query
+def corridor_width(spark, d):
+    return corridor.section_widths(corridor.sections(_paths(scene(spark, d)))).select("qid", F.col("section").cast("long").alias("section"), *_q("width"))
+
+
+def _tubes(s) -> DataFrame:
+    rows = corridor.sections(_paths(s))
+    return corridor.tubes(rows, corridor.section_widths(rows), s.grid.voxel_size)
+
+
+@query
+def corridor_tubes(spark, d):
+    return _tubes(scene(spark, d)).select("qid", F.col("section").cast("long").alias("section"), *_q("d0", "d1", "d2", "lo_d", "hi_d", "lo_u", "hi_u", "lo_v", "hi_v"))
+
+
+@query
+def corridor_half_spaces(spark, d):
+    return corridor.half_spaces(_tubes(scene(spark, d)))
+
+
+@query
+def corridor_shrink(spark, d):
+    return corridor.shrink(corridor.half_spaces(_tubes(scene(spark, d))))
+
+
+@query
+def segment_clearance(spark, d):
+    s = scene(spark, d)
+    return trajectory.clearance(_paths(s), _walls(s)).select("qid", F.col("seq").cast("long").alias("seq"), *_q("clearance"))
+
+
+@query
+def trajectory_collision(spark, d):
+    s = scene(spark, d)
+    return trajectory.collides(_paths(s), _walls(s), s.grid.robot_radius)
+
+
+@query
+def smooth_sweep(spark, d):
+    p = _paths(scene(spark, d))
+    return _xyz(trajectory.smooth_sweep(p.select("qid", "seq", "x", "y", "z"), p))
+
+
+@query
+def resample_polyline(spark, d):
+    return _xyz(trajectory.resample_arc(_paths(scene(spark, d)), 0.05))
+
+
+@query
+def trajectory_metrics(spark, d):
+    s = scene(spark, d)
+    return trajectory.metrics(_paths(s), _walls(s)).select("qid", "n_points", *_q("path_length", "min_collision_dist", "smoothness"))
+
+
+@query
+def trial_summary(spark, d):
+    s = scene(spark, d)
+    trials = trajectory.metrics(_paths(s), _walls(s)).select(F.lit("own").alias("planner"), (F.col("qid") >= 0).alias("success"), "path_length", "min_collision_dist", "smoothness")
+    return trajectory.trial_summary(trials).select("planner", "n", *_q("success_rate", "mean_path_length", "std_path_length", "mean_min_collision_dist", "mean_smoothness"))
+
+
+@query
+def force_endpoints(spark, d):
+    s = scene(spark, d)
+    return _xyz(trajectory.force_ends(_paths(s), s.queries))
+
+
+def _found(s) -> DataFrame:
+    snaps = paths.snap(s.points, s.nodes, s.grid)
+    return search.astar(s.queries, snaps, s.nodes, s.adjacency, paths.cost_scale(s.hetero, s.grid.voxel_size))
+
+
+@query
+def astar_results(spark, d):
+    return _found(scene(spark, d))
+
+
+@query
+def astar_paths(spark, d):
+    s = scene(spark, d)
+    return search.path_points(_found(s), s.nodes)
+
+
+@query
+def optimised_trajectory(spark, d):
+    s = scene(spark, d)
+    found = search.path_points(_found(s), s.nodes)
+    return trajectory.optimise(found, s.nodes.where("node_type = 0"), _walls(s), s.grid.robot_radius)
+
+
+# Network and training
+
+
+@query
+def segment_softmax(spark, d):
+    s = scene(spark, d)
+    return network.segment_softmax(s.unified.withColumn("score", 5 * F.col("w"))).select("src", "dst", *_q("alpha"))
+
+
+@query
+def attention_encode(spark, d):
+    s = scene(spark, d)
+    return network.encode(s.nodes, s.unified, network.new_weights())
+
+
+@query
+def attention_decode(spark, d):
+    s = scene(spark, d)
+    h = network.encode(s.nodes, s.unified, network.new_weights())
+    return network.decode(h, s.nodes, s.queries, network.new_weights(), 10.0)
+
+
+@query
+def load_weights(spark, d):
+    own = network.weight_table(spark, network.new_weights())
+    saved = own.where("name not like 'unc%'").withColumn("shape", F.when(F.col("name") == "type", F.array(F.lit(3), F.lit(64))).otherwise(F.col("shape")))
+    return network.load_weights(saved, own).select("name", "status")
+
+
+@query
+def random_pairs(spark, d):
+    return training.random_pairs(1000, 100, spark)
+
+
+def _costs(s) -> DataFrame:
+    """Made-up costs of two goals, so that SQL can make the same ones."""
+    goals = s.nodes.where("uid < 2").select(F.col("uid").alias("goal"), *[F.col(k).alias(f"g_{k}") for k in "xyz"])
+    far = F.sqrt(sum((F.col(k) - F.col(f"g_{k}")) ** 2 for k in "xyz"))
+    return s.nodes.join(F.broadcast(goals), on=F.lit(True)).select("goal", F.col("uid").alias("node"), (3 * far + F.col("f6")).alias("cost"), (2 * far).alias("geo"), (2.7 * far + 0.1 * F.col("f13")).alias("pred"))
+
+
+def _rows(s) -> DataFrame:
+    return training.composite_target(_costs(s), s.nodes)
+
+
+@query
+def train_samples(spark, d):
+    return training.samples(_costs(scene(spark, d)), 700).select("goal", "node", *_q("cost"))
+
+
+@query
+def composite_target(spark, d):
+    return _rows(scene(spark, d)).select("goal", "node", *_q("target"))
+
+
+@query
+def pointwise_loss(spark, d):
+    return training.pointwise(_rows(scene(spark, d))).select("goal", *_q("mse", "over"))
+
+
+@query
+def ranking_loss(spark, d):
+    return training.ranking(_rows(scene(spark, d))).select("goal", *_q("rank"))
+
+
+@query
+def monotonic_loss(spark, d):
+    s = scene(spark, d)
+    return training.monotonic(_rows(s).where("node % 3 <> 0"), s.unified).select("goal", *_q("mono"))
+
+
+@query
+def simple_loss(spark, d):
+    return training.simple_loss(_rows(scene(spark, d))).select(*_q("loss"))
+
+
+@query
+def total_loss(spark, d):
+    s = scene(spark, d)
+    rows = _rows(s)
+    ends = rows.groupBy("goal").agg(F.max("pred").alias("start_h"), F.min("pred").alias("goal_h"))
+    return training.total_loss(rows, s.unified, ends).select("goal", *_q("bias", "loss"))
+
+
+@query
+def random_queries(spark, d):
+    g = scene(spark, d).grid
+    return sources.random_queries(spark, g.lower, g.upper, 50)
+
+
+@query
+def read_pairs(spark, d):
+    text = '[{"start": [0, 1, 2], "goal": [3, 4, 5]}, [[1, 1, 1], [2, 2, 2]], 7, {"start": [1]}, "x"]'
+    return sources.read_pairs(spark.createDataFrame([(text,)], "value string"))
