@@ -18,7 +18,10 @@ MAX_POINTS = 2_000_000
 SMOOTH, CURVE, REFERENCE, SWEEPS = 0.28, 0.10, 0.55, 20
 DETOUR_RADIUS, DETOUR_CLEARANCE, DENSE = 0.12, 0.01, 120
 POINTS = "qid long, seq int, x double, y double, z double"
-BY_SEQ = W.partitionBy("qid").orderBy("seq")
+
+
+def by_seq():
+    return W.partitionBy("qid").orderBy("seq")
 
 
 def force_ends(points: DataFrame, queries: DataFrame) -> DataFrame:
@@ -36,7 +39,7 @@ def force_ends(points: DataFrame, queries: DataFrame) -> DataFrame:
 
 def segments(points: DataFrame) -> DataFrame:
     """(qid, seq, a_*, b_*): each point with the next one."""
-    nxt = {f"b_{k}": F.lead(k).over(BY_SEQ) for k in "xyz"}
+    nxt = {f"b_{k}": F.lead(k).over(by_seq()) for k in "xyz"}
     return points.withColumns(nxt).where("b_x is not null").select("qid", "seq", *[F.col(k).alias(f"a_{k}") for k in "xyz"], *nxt)
 
 
@@ -55,7 +58,7 @@ def collides(points: DataFrame, obstacles: DataFrame, radius: float) -> DataFram
 def smooth_sweep(points: DataFrame, reference: DataFrame) -> DataFrame:
     """One Jacobi sweep without obstacles: each inner point moves by the Laplacian, curvature and reference pulls, by a capped step."""
     ref = reference.select("qid", "seq", *[F.col(k).alias(f"r_{k}") for k in "xyz"])
-    cols = {f"{p}_{k}": f(k).over(BY_SEQ) for k in "xyz" for p, f in (("p", F.lag), ("n", F.lead))}
+    cols = {f"{p}_{k}": f(k).over(by_seq()) for k in "xyz" for p, f in (("p", F.lag), ("n", F.lead))}
     rows = points.withColumns(cols).join(ref, ["qid", "seq"], "left")
     move = {f"d_{k}": SMOOTH * (0.5 * (F.col(f"p_{k}") + F.col(f"n_{k}")) - F.col(k)) + CURVE * (F.col(f"p_{k}") - 2 * F.col(k) + F.col(f"n_{k}")) + REFERENCE * (F.coalesce(f"r_{k}", k) - F.col(k)) for k in "xyz"}
     rows = rows.withColumns(move).withColumns({f"r_{k}": F.coalesce(f"r_{k}", k) for k in "xyz"})
@@ -69,12 +72,12 @@ def smooth_sweep(points: DataFrame, reference: DataFrame) -> DataFrame:
 def resample_arc(points: DataFrame, step: float) -> DataFrame:
     """max(2, ceil(length / step) + 1) points evenly spaced along the polyline; the targets of a segment are generated in its row."""
     seg = segments(points).withColumn("len", F.sqrt(sum((F.col(f"b_{k}") - F.col(f"a_{k}")) ** 2 for k in "xyz")))
-    seg = seg.withColumns({"upto": F.sum("len").over(BY_SEQ), "total": F.sum("len").over(W.partitionBy("qid"))}).where("total > 0 and len > 0")
+    seg = seg.withColumns({"upto": F.sum("len").over(by_seq()), "total": F.sum("len").over(W.partitionBy("qid"))}).where("total > 0 and len > 0")
     seg = seg.withColumn("n", F.greatest(F.lit(2), F.ceil(F.col("total") / step) + 1).cast("int")).withColumn("gap", F.col("total") / (F.col("n") - 1))
     before = F.col("upto") - F.col("len")
     first = F.when(before <= 0, F.lit(0)).otherwise(F.floor(before / F.col("gap")) + 1).cast("int")
     last = F.least(F.floor(F.col("upto") / F.col("gap")), F.col("n") - 1).cast("int")
-    is_last = F.lead("seq").over(BY_SEQ).isNull()
+    is_last = F.lead("seq").over(by_seq()).isNull()
     seg = seg.withColumns({"before": before, "first": first, "last": F.when(is_last, F.col("n") - 1).otherwise(last)}).where("first <= last")
     out = seg.withColumn("k", F.explode(F.sequence("first", "last")))
     t = F.least(F.greatest((F.col("k") * F.col("gap") - F.col("before")) / F.col("len"), F.lit(0.0)), F.lit(1.0))
@@ -83,7 +86,7 @@ def resample_arc(points: DataFrame, step: float) -> DataFrame:
 
 def metrics(points: DataFrame, obstacles: DataFrame) -> DataFrame:
     """(qid, n_points, path_length, min_collision_dist, smoothness): smoothness is the mean squared second difference (own definition)."""
-    rows = points.withColumns({f"{p}_{k}": f(k).over(BY_SEQ) for k in "xyz" for p, f in (("p", F.lag), ("n", F.lead))})
+    rows = points.withColumns({f"{p}_{k}": f(k).over(by_seq()) for k in "xyz" for p, f in (("p", F.lag), ("n", F.lead))})
     second = sum((F.col(f"p_{k}") - 2 * F.col(k) + F.col(f"n_{k}")) ** 2 for k in "xyz")
     own = rows.groupBy("qid").agg(F.count(F.lit(1)).alias("n_points"), F.coalesce(F.sum(distance("", "n")), F.lit(0.0)).alias("path_length"), F.coalesce(F.avg(second), F.lit(0.0)).alias("smoothness"))
     walls = obstacles.select(*[F.col(k).alias(f"o_{k}") for k in "xyz"])
