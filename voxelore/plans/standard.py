@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelore.operators import classify, density, edges, features
 from voxelore.operators.scene import Grid, make_grid, scene_from_embeddings
+from voxelore.plans.store import written
 
 #: name: (density_high, dilation steps)
 VARIANTS = {"std": (500.0, 0), "dilated": (500.0, 1), "adaptive": (0.5, 0)}
@@ -27,7 +28,8 @@ QUERIES = [
 
 @dataclass(frozen=True)
 class Scene:
-    """Lazy tables of one scene; voxels, nodes and edges are kept once computed, as several steps read them."""
+    """Tables of one scene. Voxels, nodes and edges are written to the shared folder when first asked for: several steps read
+    them, plans over them stay short, and a lost executor does not lose them."""
 
     spark: SparkSession
     sf_dir: str
@@ -49,15 +51,15 @@ class Scene:
     def voxels(self) -> DataFrame:
         high, steps = VARIANTS[self.variant]
         found = classify.dilate(classify.classify(self.density, high), steps)
-        return classify.floor_filter(found, self.grid).persist()
+        return written(classify.floor_filter(found, self.grid), "scene-voxels")
 
     @cached_property
     def around(self) -> DataFrame:
-        return classify.neighbourhood(self.voxels).persist()
+        return written(classify.neighbourhood(self.voxels), "scene-around")
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return edges.with_uid(features.node_features(self.around, self.gaussians, self.grid)).persist()
+        return written(edges.with_uid(features.node_features(self.around, self.gaussians, self.grid)), "scene-nodes")
 
     @cached_property
     def stencil(self) -> DataFrame:
@@ -65,11 +67,11 @@ class Scene:
 
     @cached_property
     def hetero(self) -> DataFrame:
-        return edges.hetero_edges(self.stencil).persist()
+        return written(edges.hetero_edges(self.stencil), "scene-hetero")
 
     @cached_property
     def unified(self) -> DataFrame:
-        return edges.unified_edges(self.hetero, self.nodes).persist()
+        return written(edges.unified_edges(self.hetero, self.nodes), "scene-unified")
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -86,7 +88,7 @@ class Scene:
         from voxelore.operators import paths
 
         penalty = paths.obstacle_penalty(self.unified, self.nodes, self.voxels, self.grid)
-        return edges.adjacency(self.unified, self.nodes).join(penalty, ["src", "dst"]).persist()
+        return written(edges.adjacency(self.unified, self.nodes).join(penalty, ["src", "dst"]), "scene-adjacency")
 
 
 @lru_cache(maxsize=8)
