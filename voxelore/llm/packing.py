@@ -50,7 +50,10 @@ class Ids:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode = self.encoding.encode_ordinary
+        self.opens = np.zeros(self.encoding.n_vocab, bool)  # ids of tokens that begin with a space
+        self.opens[[k for b, k in ranks.items() if b[:1] == b" "]] = True
         self.memo: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
