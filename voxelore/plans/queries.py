@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelore.functions.columns import quantised as q
 from voxelore.operators import classify, corridor, density, edges, features, hashgrid, network, paths, search, training, trajectory
 from voxelore.operators.scene import bounds_filter, bounds_table, centers, scene_from_embeddings, with_inverse
-from voxelore.plans.standard import scene
+from voxelore.plans.standard import QUERIES, scene
 from voxelore.sources import scenes as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,18 @@ def query(f: Query) -> Query:
     return f
 
 
+def both(f: Callable) -> Callable:
+    """Registers f(scene, every) twice: over the rows that its SQL names, and as `<name>_whole` over all rows."""
+    for suffix, every in (("", False), ("_whole", True)):
+
+        def run(spark, d, every=every):
+            return f(scene(spark, d), every)
+
+        run.__name__, run.__doc__ = f.__name__ + suffix, f.__doc__
+        query(run)
+    return f
+
+
 def _q(*cols: str) -> list:
     return [q(c).alias(c) for c in cols]
 
@@ -60,11 +73,11 @@ def density_gradient(spark, d):
     return density.gradient_field(s.gaussians, s.grid).select("vid", *[q(f"g{k}", 1e3).alias(f"g{k}") for k in "xyz"])
 
 
-@query
-def density_at_points(spark, d):
-    """At the means of every fifth Gaussian, moved by 0.01."""
-    g = scene(spark, d).gaussians
-    points = g.where("gid % 5 = 0").select(F.col("gid").alias("pid"), *[(F.col(k) + 0.01).alias(k) for k in "xyz"])
+@both
+def density_at_points(s, every):
+    """At the means of every fifth Gaussian or of all, moved by 0.01."""
+    g = s.gaussians
+    points = g.where("true" if every else "gid % 5 = 0").select(F.col("gid").alias("pid"), *[(F.col(k) + 0.01).alias(k) for k in "xyz"])
     return density.at_points(g, points).select("pid", *_q("rho"), *[q(f"g{k}", 1e3).alias(f"g{k}") for k in "xyz"])
 
 
@@ -214,33 +227,33 @@ def graph_stats(spark, d):
 HASH_CELL = 0.3
 
 
-def _hash(spark, d):
-    g = scene(spark, d).gaussians
+def _hash(s, every=False):
+    g = s.gaussians
     origin = hashgrid.origin_of(g)
-    points = g.where("gid % 7 = 0").select(F.col("gid").alias("pid"), *[(F.col(k) + 0.02).alias(k) for k in "xyz"])
+    points = g.where("true" if every else "gid % 7 = 0").select(F.col("gid").alias("pid"), *[(F.col(k) + 0.02).alias(k) for k in "xyz"])
     return g, points, hashgrid.build(g, HASH_CELL, origin), origin
 
 
 @query
 def hash_build(spark, d):
-    return _hash(spark, d)[2]
+    return _hash(scene(spark, d))[2]
 
 
-@query
-def hash_candidates(spark, d):
-    _, points, table, origin = _hash(spark, d)
+@both
+def hash_candidates(s, every):
+    _, points, table, origin = _hash(s, every)
     return hashgrid.candidates(table, points, HASH_CELL, origin, 0.05)
 
 
-@query
-def hash_knn(spark, d):
-    g, points, table, origin = _hash(spark, d)
+@both
+def hash_knn(s, every):
+    g, points, table, origin = _hash(s, every)
     return hashgrid.nearest(hashgrid.candidates(table, points, HASH_CELL, origin, 0.05), points, g, 5).select("pid", F.col("rank").cast("long").alias("rank"), "gid", *_q("d"))
 
 
 @query
 def hash_stats(spark, d):
-    return hashgrid.stats(_hash(spark, d)[2])
+    return hashgrid.stats(_hash(scene(spark, d))[2])
 
 
 @query
@@ -287,15 +300,15 @@ def segment_clear(spark, d):
     return paths.segment_clear(s.unified, s.nodes, s.voxels, s.grid)
 
 
-def _goals(s) -> DataFrame:
-    got = paths.snap(s.points, s.nodes, s.grid)
-    return got.where((F.col("pid") % 2 == 1) & (F.col("pid") < 6)).select(F.col("uid").alias("goal")).distinct()
+def _goals(s, every=False) -> DataFrame:
+    """Of the first three queries, or of all."""
+    got = paths.snap(s.points, s.nodes, s.grid).where("pid % 2 = 1")
+    return got.where("true" if every else "pid < 6").select(F.col("uid").alias("goal")).distinct()
 
 
-@query
-def shortest_costs(spark, d):
-    s = scene(spark, d)
-    return paths.shortest_costs(s.unified, _goals(s)).select("goal", "node", *_q("cost"))
+@both
+def shortest_costs(s, every):
+    return paths.shortest_costs(s.unified, _goals(s, every)).select("goal", "node", *_q("cost"))
 
 
 @query
@@ -306,10 +319,17 @@ def goal_cost_cache(spark, d):
     return paths.missing_goals(wanted, _goals(s))
 
 
-# Paths: two of the scene's own points in turn, so that SQL can make the same ones
+# Paths: two of the scene's own points in turn, so that SQL can make the same ones, or all of them, 24 a path
+
+PATH_POINTS = 24
 
 
-def _paths(s) -> DataFrame:
+def _paths(s, every=False) -> DataFrame:
+    if every:
+        qid = F.floor(F.col("gid") / PATH_POINTS).cast("long")
+        seq = (F.row_number().over(W.partitionBy("qid").orderBy("gid")) - 1).cast("int")
+        g = s.gaussians.withColumn("qid", qid).withColumn("seq", seq)
+        return g.select("qid", "seq", "x", "y", "z", F.col("opacity").alias("f9"), (F.col("seq") % 2).alias("node_type"))
     g = s.gaussians.where("gid < 48")
     return g.select((F.col("gid") % 2).alias("qid"), F.expr("cast(gid div 2 as int)").alias("seq"), "x", "y", "z", F.col("opacity").alias("f9"), (F.expr("cast(gid div 2 as int)") % 2).alias("node_type"))
 
@@ -322,81 +342,81 @@ def _xyz(df: DataFrame) -> DataFrame:
     return df.select("qid", F.col("seq").cast("long").alias("seq"), *_q("x", "y", "z"))
 
 
-@query
-def path_profile(spark, d):
-    return paths.path_profile(_paths(scene(spark, d))).where("slope is not null").select("qid", F.col("seq").cast("long").alias("seq"), *_q("slope", "curvature"))
+@both
+def path_profile(s, every):
+    return paths.path_profile(_paths(s, every)).where("slope is not null").select("qid", F.col("seq").cast("long").alias("seq"), *_q("slope", "curvature"))
 
 
-@query
-def path_sections(spark, d):
-    return corridor.sections(_paths(scene(spark, d))).select("qid", F.col("seq").cast("long").alias("seq"), F.col("section").cast("long").alias("section"))
+@both
+def path_sections(s, every):
+    return corridor.sections(_paths(s, every)).select("qid", F.col("seq").cast("long").alias("seq"), F.col("section").cast("long").alias("section"))
 
 
-@query
-def corridor_width(spark, d):
-    return corridor.section_widths(corridor.sections(_paths(scene(spark, d)))).select("qid", F.col("section").cast("long").alias("section"), *_q("width"))
+@both
+def corridor_width(s, every):
+    return corridor.section_widths(corridor.sections(_paths(s, every))).select("qid", F.col("section").cast("long").alias("section"), *_q("width"))
 
 
-def _tubes(s) -> DataFrame:
-    rows = corridor.sections(_paths(s))
+def _tubes(s, every) -> DataFrame:
+    rows = corridor.sections(_paths(s, every))
     return corridor.tubes(rows, corridor.section_widths(rows), s.grid.voxel_size)
 
 
-@query
-def corridor_tubes(spark, d):
-    return _tubes(scene(spark, d)).select("qid", F.col("section").cast("long").alias("section"), *_q("d0", "d1", "d2", "lo_d", "hi_d", "lo_u", "hi_u", "lo_v", "hi_v"))
+@both
+def corridor_tubes(s, every):
+    return _tubes(s, every).select("qid", F.col("section").cast("long").alias("section"), *_q("d0", "d1", "d2", "lo_d", "hi_d", "lo_u", "hi_u", "lo_v", "hi_v"))
 
 
 @query
 def corridor_half_spaces(spark, d):
-    return corridor.half_spaces(_tubes(scene(spark, d)))
+    return corridor.half_spaces(_tubes(scene(spark, d), True))
 
 
 @query
 def corridor_shrink(spark, d):
-    return corridor.shrink(corridor.half_spaces(_tubes(scene(spark, d))))
+    return corridor.shrink(corridor.half_spaces(_tubes(scene(spark, d), True)))
 
 
-@query
-def segment_clearance(spark, d):
-    s = scene(spark, d)
-    return trajectory.clearance(_paths(s), _walls(s)).select("qid", F.col("seq").cast("long").alias("seq"), *_q("clearance"))
+@both
+def segment_clearance(s, every):
+    return trajectory.clearance(_paths(s, every), _walls(s)).select("qid", F.col("seq").cast("long").alias("seq"), *_q("clearance"))
 
 
-@query
-def trajectory_collision(spark, d):
-    s = scene(spark, d)
-    return trajectory.collides(_paths(s), _walls(s), s.grid.robot_radius)
+@both
+def trajectory_collision(s, every):
+    return trajectory.collides(_paths(s, every), _walls(s), s.grid.robot_radius)
 
 
-@query
-def smooth_sweep(spark, d):
-    p = _paths(scene(spark, d))
+@both
+def smooth_sweep(s, every):
+    p = _paths(s, every)
     return _xyz(trajectory.smooth_sweep(p.select("qid", "seq", "x", "y", "z"), p))
 
 
-@query
-def resample_polyline(spark, d):
-    return _xyz(trajectory.resample_arc(_paths(scene(spark, d)), 0.05))
+@both
+def resample_polyline(s, every):
+    return _xyz(trajectory.resample_arc(_paths(s, every), 0.05))
 
 
-@query
-def trajectory_metrics(spark, d):
-    s = scene(spark, d)
-    return trajectory.metrics(_paths(s), _walls(s)).select("qid", "n_points", *_q("path_length", "min_collision_dist", "smoothness"))
+@both
+def trajectory_metrics(s, every):
+    return trajectory.metrics(_paths(s, every), _walls(s)).select("qid", "n_points", *_q("path_length", "min_collision_dist", "smoothness"))
 
 
-@query
-def trial_summary(spark, d):
-    s = scene(spark, d)
-    trials = trajectory.metrics(_paths(s), _walls(s)).select(F.lit("own").alias("planner"), (F.col("qid") >= 0).alias("success"), "path_length", "min_collision_dist", "smoothness")
+@both
+def trial_summary(s, every):
+    trials = trajectory.metrics(_paths(s, every), _walls(s)).select(F.lit("own").alias("planner"), (F.col("qid") >= 0).alias("success"), "path_length", "min_collision_dist", "smoothness")
     return trajectory.trial_summary(trials).select("planner", "n", *_q("success_rate", "mean_path_length", "std_path_length", "mean_min_collision_dist", "mean_smoothness"))
 
 
 @query
 def force_endpoints(spark, d):
+    """Paths take the scene's queries in turn."""
     s = scene(spark, d)
-    return _xyz(trajectory.force_ends(_paths(s), s.queries))
+    points = _paths(s, True)
+    turn = (F.col("path") % len(QUERIES)).alias("qid")
+    ends = points.select(F.col("qid").alias("path")).distinct().select("path", turn).join(s.queries, "qid").drop("qid").withColumnRenamed("path", "qid")
+    return _xyz(trajectory.force_ends(points, ends))
 
 
 def _found(s) -> DataFrame:
@@ -456,52 +476,51 @@ def random_pairs(spark, d):
     return training.random_pairs(1000, 100, spark)
 
 
-def _costs(s) -> DataFrame:
-    """Made-up costs of two goals, so that SQL can make the same ones."""
-    goals = s.nodes.where("uid < 2").select(F.col("uid").alias("goal"), *[F.col(k).alias(f"g_{k}") for k in "xyz"])
+def _costs(s, every=False) -> DataFrame:
+    """Made-up costs of two goals, so that SQL can make the same ones, or of the goals of all queries."""
+    goals = s.nodes.join(_goals(s, True).withColumnRenamed("goal", "uid"), "uid") if every else s.nodes.where("uid < 2")
+    goals = goals.select(F.col("uid").alias("goal"), *[F.col(k).alias(f"g_{k}") for k in "xyz"])
     far = F.sqrt(sum((F.col(k) - F.col(f"g_{k}")) ** 2 for k in "xyz"))
     return s.nodes.join(F.broadcast(goals), on=F.lit(True)).select("goal", F.col("uid").alias("node"), (3 * far + F.col("f6")).alias("cost"), (2 * far).alias("geo"), (2.7 * far + 0.1 * F.col("f13")).alias("pred"))
 
 
-def _rows(s) -> DataFrame:
-    return training.composite_target(_costs(s), s.nodes)
+def _rows(s, every=False) -> DataFrame:
+    return training.composite_target(_costs(s, every), s.nodes)
 
 
-@query
-def train_samples(spark, d):
-    return training.samples(_costs(scene(spark, d)), 700).select("goal", "node", *_q("cost"))
+@both
+def train_samples(s, every):
+    return training.samples(_costs(s, every), 700).select("goal", "node", *_q("cost"))
 
 
-@query
-def composite_target(spark, d):
-    return _rows(scene(spark, d)).select("goal", "node", *_q("target"))
+@both
+def composite_target(s, every):
+    return _rows(s, every).select("goal", "node", *_q("target"))
 
 
-@query
-def pointwise_loss(spark, d):
-    return training.pointwise(_rows(scene(spark, d))).select("goal", *_q("mse", "over"))
+@both
+def pointwise_loss(s, every):
+    return training.pointwise(_rows(s, every)).select("goal", *_q("mse", "over"))
 
 
-@query
-def ranking_loss(spark, d):
-    return training.ranking(_rows(scene(spark, d))).select("goal", *_q("rank"))
+@both
+def ranking_loss(s, every):
+    return training.ranking(_rows(s, every)).select("goal", *_q("rank"))
 
 
-@query
-def monotonic_loss(spark, d):
-    s = scene(spark, d)
-    return training.monotonic(_rows(s).where("node % 3 <> 0"), s.unified).select("goal", *_q("mono"))
+@both
+def monotonic_loss(s, every):
+    return training.monotonic(_rows(s, every).where("true" if every else "node % 3 <> 0"), s.unified).select("goal", *_q("mono"))
 
 
-@query
-def simple_loss(spark, d):
-    return training.simple_loss(_rows(scene(spark, d))).select(*_q("loss"))
+@both
+def simple_loss(s, every):
+    return training.simple_loss(_rows(s, every)).select(*_q("loss"))
 
 
-@query
-def total_loss(spark, d):
-    s = scene(spark, d)
-    rows = _rows(s)
+@both
+def total_loss(s, every):
+    rows = _rows(s, every)
     ends = rows.groupBy("goal").agg(F.max("pred").alias("start_h"), F.min("pred").alias("goal_h"))
     return training.total_loss(rows, s.unified, ends).select("goal", *_q("bias", "loss"))
 
