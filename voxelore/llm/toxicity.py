@@ -4,8 +4,10 @@ score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct terms i o
 bytes of longer words, each hashed to HASH_BITS bits. The pair term learns interactions that additive weights miss.
 
 The model is fitted on a bounded sample of labelled rows, TOXIC_ROWS toxic and CLEAN_ROWS clean ones at most, taken in the
-order of a hash of the id. Terms are screened on the executors: those whose share differs between the classes, and the
-most frequent ones as possible partners in pairs. The sample's intercept is corrected to the labels' true share.
+order of a hash of the id. All terms of at least three of its documents are kept, as a term that tells nothing alone may do
+so in a pair; only beyond MOST_TERMS the ones that differ least between the classes go. A term's value is the square of its
+gap, cut to [LEAST_VALUE, 1] as parts of FULL_GAP, so that many neutral terms don't drown the telling ones. The sample's intercept is corrected
+to the labels' true share.
 
 Defined cases: a null text is the empty text, which gets the intercept's score. Null labels and ids without a text teach
 nothing. If the labels lack a class, all scores are the share of toxic labels (0 without labels). Repeated ids are scored
@@ -28,8 +30,9 @@ from voxelore.llm.text import in_fold
 
 HASH_BITS = 40
 #: Bounds of the fitting sample and of the model.
-TOXIC_ROWS, CLEAN_ROWS, SCREENED_TERMS, FREQUENT_TERMS = 8_000, 12_000, 1 << 14, 64
+TOXIC_ROWS, CLEAN_ROWS, MOST_TERMS = 8_000, 12_000, 1 << 20
 FACTORS, EPOCHS, BATCH, SEED = 4, 20, 256, 7
+LEAST_VALUE, FULL_GAP = 0.3, 4.0
 MEMO = 300_000
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -100,9 +103,9 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms), *(pa.array(c.astype(np.int64)) for c in counts)], ["term", "toxic", "clean"])
 
 
-def _active(known: dict[int, int]):
+def _active(terms: np.ndarray):
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Finder(known)
+        find = Finder({int(t): k for k, t in enumerate(terms)})
         for batch in batches:
             rows = [find(t or "").astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["toxic", "rows"])
@@ -110,25 +113,32 @@ def _active(known: dict[int, int]):
     return active
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, share: float, l2: float = 1e-4, rate: float = 0.3) -> tuple[float, np.ndarray, np.ndarray]:
-    """AdaGrad on the logistic loss in batches; share: the true share of label 1, to which the intercept is corrected."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, x: np.ndarray, share: float, l2: float = 1e-4, rate: float = 0.3) -> tuple[float, np.ndarray, np.ndarray]:
+    """AdaGrad on the logistic loss in batches; x: the value of each term, which the weights given back contain; share: the
+    true share of label 1, to which the intercept is corrected."""
+    n_terms = len(x)
     rng = np.random.default_rng(SEED)
     w, v = np.zeros(n_terms), rng.normal(0, 0.02, (n_terms, FACTORS))
     gw, gv = np.full(n_terms, 1e-2), np.full((n_terms, FACTORS), 1e-2)
     w0, g0 = float(np.log(max(labels.mean(), 1e-6) / max(1 - labels.mean(), 1e-6))), 1e-2
+    used, local = np.zeros(n_terms, bool), np.zeros(n_terms, np.int64)
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
             size = np.array([len(rows[k]) for k in some])
             idx, doc = np.concatenate([rows[k] for k in some]).astype(np.int64), np.repeat(np.arange(len(some)), size)
-            y, vi = labels[some], v[idx]
+            y, xi = labels[some], x[idx]
+            vi = v[idx] * xi[:, None]
             total = np.stack([np.bincount(doc, vi[:, f], len(some)) for f in range(FACTORS)], axis=1)
-            z = w0 + np.bincount(doc, w[idx], len(some)) + 0.5 * ((total**2).sum(axis=1) - np.bincount(doc, (vi * vi).sum(axis=1), len(some)))
+            z = w0 + np.bincount(doc, w[idx] * xi, len(some)) + 0.5 * ((total**2).sum(axis=1) - np.bincount(doc, (vi * vi).sum(axis=1), len(some)))
             err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / len(some)
-            hit, place = np.unique(idx, return_inverse=True)
-            dw = np.bincount(place, err[doc], len(hit)) + l2 * w[hit]
-            pull = err[doc, None] * (total[doc] - vi)
+            used[idx] = True
+            hit = np.flatnonzero(used)
+            used[hit], local[hit] = False, np.arange(len(hit))
+            place = local[idx]
+            dw = np.bincount(place, err[doc] * xi, len(hit)) + l2 * w[hit]
+            pull = (err[doc] * xi)[:, None] * (total[doc] - vi)
             dv = np.stack([np.bincount(place, pull[:, f], len(hit)) for f in range(FACTORS)], axis=1) + l2 * v[hit]
             d0 = err.sum()
             g0 += d0 * d0
@@ -138,7 +148,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, share: float,
             w[hit] -= rate * dw / gw[hit] ** 0.5
             v[hit] -= rate * dv / gv[hit] ** 0.5
     own = labels.mean()
-    return w0 + float(np.log(share / (1 - share)) - np.log(own / (1 - own))), w, v
+    return w0 + float(np.log(share / (1 - share)) - np.log(own / (1 - own))), w * x, v * x[:, None]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> Model:
@@ -163,14 +173,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pooled = (F.col("t") + F.col("c")) / (n1 + n0)
     gap = F.abs(F.col("t") / n1 - F.col("c") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
     counted = written(counted.select("term", (F.col("t") + F.col("c")).alias("df"), gap.alias("gap")).where("df >= 3"), "toxicity-terms")
-    telling = counted.where("gap >= 4").orderBy(F.desc("gap"), "term").limit(SCREENED_TERMS)
-    often = counted.orderBy(F.desc("df"), "term").limit(FREQUENT_TERMS)
-    terms = np.unique(np.array([r.term for r in telling.union(often).collect()], np.int64))
-    known = {int(t): k for k, t in enumerate(terms)}
-    got = sample.mapInArrow(_active(known), "toxic int, rows binary").collect()
+    kept = sorted(map(tuple, counted.select("term", "gap").orderBy(F.desc("gap"), "term").limit(MOST_TERMS).collect()))
+    terms, gaps = np.array([k for k, _ in kept], np.int64), np.array([g for _, g in kept], float)
+    got = sample.mapInArrow(_active(terms), "toxic int, rows binary").collect()
     got.sort(key=lambda r: (r.toxic, bytes(r.rows)))  # the order of the rows must not depend on partitions
     rows = [np.frombuffer(bytes(r.rows), "<i4") for r in got]
-    w0, w, v = fit(rows, np.array([r.toxic for r in got], float), len(terms), n_toxic / n)
+    w0, w, v = fit(rows, np.array([r.toxic for r in got], float), np.clip((gaps / FULL_GAP) ** 2, LEAST_VALUE, 1), n_toxic / n)
     return Model(terms, w0, w, v)
 
 
