@@ -5,7 +5,8 @@ next item, a table cell at the next cell or row, the document elements where the
 tree under visibility rules and lays the text out: blank lines between blocks, list markers with indents, and table
 cells in aligned columns.
 
-Visible is all text except in head, script, style, template, noscript, under the hidden attribute, under display:none,
+Visible is all text except in head, script, style, template, noscript, title, iframe, noembed, noframes, datalist, below svg and
+math in annotation, desc, metadata, defs, symbol and mphantom, under the hidden attribute, under display:none,
 and where visibility is hidden or collapse (which descendants can undo). Declarations are read from style attributes and,
 for selectors of one tag, class or id, from style sheets of the page; the more specific selector wins, then the later.
 
@@ -27,7 +28,10 @@ from pyspark.sql import functions as F
 DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("head script style template noscript title iframe noembed noframes object svg math datalist".split())
+NEVER = frozenset("head script style template noscript title iframe noembed noframes datalist".split())
+#: Below svg and math: not rendered, and on lines of their own.
+FOREIGN_NEVER = frozenset("annotation annotation-xml desc metadata defs symbol mphantom".split())
+FOREIGN_BLOCK = frozenset("text mtr".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main "
     "menu nav ol p pre section summary table ul caption tr thead tbody tfoot legend optgroup option".split()
@@ -97,6 +101,10 @@ class Tree:
                 continue
             attrs = m[3]
             node = self._start(tag, _attrs(attrs) if attrs.strip(" /\t\n\r") else {})
+            if attrs.endswith("/") and self._foreign():
+                if self.stack[-1] is node:
+                    self.stack.pop()
+                continue
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(markup, at)
                 inner = markup[at : close.start() if close else n]
@@ -108,6 +116,9 @@ class Tree:
                 if self.stack[-1] is node:
                     self.stack.pop()
 
+    def _foreign(self) -> bool:
+        return any(n.tag in ("svg", "math") for n in self.stack)
+
     def _ensure_body(self) -> None:
         if self.body is None:
             del self.stack[1:]
@@ -279,7 +290,7 @@ def _span(attrs: dict[str, str], name: str) -> int:
 
 class Renderer:
     def __init__(self, styles: Styles):
-        self.styles = styles
+        self.styles, self.foreign = styles, 0
 
     def render(self, node: Node) -> str:
         out = Lines()
@@ -291,6 +302,8 @@ class Renderer:
         tag = node.tag
         if tag in NEVER or "hidden" in node.attrs or (tag == "input" and node.attrs.get("type", "").lower() == "hidden"):
             return
+        if self.foreign and tag in FOREIGN_NEVER:
+            return
         style = self.styles.of(node)
         display = style.get("display", "")
         if display == "none":
@@ -314,7 +327,7 @@ class Renderer:
             self._table(node, out, seen, pre)
             out.block(True)
             return
-        block = display in ("block", "flex", "grid", "list-item", "table") or (tag in BLOCK and not display.startswith("inline"))
+        block = display in ("block", "flex", "grid", "list-item", "table") or ((tag in BLOCK or (self.foreign and tag in FOREIGN_BLOCK)) and not display.startswith("inline"))
         spaced = tag in SPACED and not (tag in ("ul", "ol") and lists)
         if block:
             out.block(spaced)
@@ -336,6 +349,9 @@ class Renderer:
         elif tag in ("blockquote", "dd") and seen:
             out.prefix.append("  ")
             indent = 1
+        if tag == "mtd" and seen and out.open:
+            out.text(" ", False)
+        self.foreign += tag in ("svg", "math")
         closed = tag == "details" and "open" not in node.attrs
         for kid in node.kids:
             if isinstance(kid, str):
@@ -343,6 +359,7 @@ class Renderer:
                     out.text(kid, pre)
             elif not closed or kid.tag == "summary":
                 self._walk(kid, out, seen, pre, lists)
+        self.foreign -= tag in ("svg", "math")
         if block:
             out.block(spaced)
         if indent:
