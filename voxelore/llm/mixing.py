@@ -4,7 +4,8 @@ A token budget runs down a tree of levels (domain, language, source). Each node
 none getting more than its capacity, the tokens below it times MAX_EPOCHS; what a child can't take goes to its siblings by
 weight (water filling). As a node gets at most what its subtree can take, shortages are made up among siblings first and
 pass to the ancestors' other branches only when the whole subtree is short. A leaf takes whole epochs of its documents and
-then the token-prefix of a last one, each epoch in its own seeded order.
+then the token-prefix of a last one, each epoch in its own seeded order. `select_mix` ends that prefix before the document that
+crosses the budget, as its SQL does, unless told to cut; `mixed_rows` cuts that document's text, so that a leaf gets all its budget.
 
 Only DataFrame functions are used. Prefix sums run over 4096 buckets of the order's hash for each leaf and then within the
 bucket, so that a leaf of a third of all rows is dealt over as many tasks. A document costs its words and one end mark.
@@ -29,6 +30,11 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
+def cut_text(text: Column, tokens: Column) -> Column:
+    """The text's beginning that takes so many tokens, one of which is the end mark."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), (tokens - 1).cast("int")), "")
+
+
 def domain_of(source: Column, domains: int = 4) -> Column:
     """The top level where a table has none: the number at the end of the source's name, modulo `domains`."""
     number = F.coalesce(F.regexp_extract(source, "([0-9]{1,9})$", 1).try_cast("long"), F.lit(0))
@@ -76,10 +82,12 @@ def select_mix(
     seed: int = SEED,
     id_col: str = "doc_id",
     text_col: str = "text",
+    cut: bool = False,
 ) -> DataFrame:
     """(id, row, levels..., n_tokens, epoch, budget): a row for each time that a document is taken.
 
-    share: the root's budget as a part of all tokens. `row` tells rows of the same id apart by their text.
+    share: the root's budget as a part of all tokens. `row` tells rows of the same id apart by their text. cut: the document
+    that crosses a leaf's budget is taken too; the column `taken` says how many of its tokens.
     """
     names = list(levels)
     rows = docs.select(
@@ -101,18 +109,31 @@ def select_mix(
     before = F.coalesce(F.sum("in_bucket").over(W.partitionBy(*names).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("before", before).where("before < need").select(*names, "bucket", "before")
     within = W.partitionBy(*names, "bucket").orderBy("order", "id", "row").rowsBetween(W.unboundedPreceding, 0)
-    part = part.join(sums, [*names, "bucket"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(within)).where("upto <= rest")
-    out = ["id", "row", *names, "n_tokens", "epoch", "budget"]
+    part = part.join(sums, [*names, "bucket"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
+    part = part.where("upto - n_tokens < rest" if cut else "upto <= rest").withColumn("taken", F.least("n_tokens", F.expr("rest - (upto - n_tokens)")))
+    whole = whole.withColumn("taken", F.col("n_tokens"))
+    out = ["id", "row", *names, "n_tokens", "epoch", "budget", *(["taken"] if cut else [])]
     return whole.select(out).unionByName(part.select(out))
 
 
 def mixed_rows(docs: DataFrame, levels: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs in the mix, as often as they are taken, with their own columns."""
-    taken = select_mix(docs, levels, id_col=id_col, text_col=text_col, **how)
+    """The rows of docs in the mix, as often as they are taken, with their own columns; the last text of a leaf is cut to its budget."""
+    chosen = written(select_mix(docs, levels, id_col=id_col, text_col=text_col, cut=True, **how), "mix-taken")
+    taken = chosen.where("taken = n_tokens")
     # Rows with the same id and text are one row of docs here; each was taken by itself above.
     times = taken.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n"))
     same = docs.select(F.col(id_col).alias("same_id"), F.xxhash64(F.col(text_col)).alias("same_row")).groupBy("same_id", "same_row").agg(F.count(F.lit(1)).alias("m"))
     times = times.join(same, F.col("id").eqNullSafe(F.col("same_id")) & (F.col("row") == F.col("same_row")))
     times = times.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.ceil(F.col("n") / F.col("m")).cast("int").alias("__times"))
     both = docs.join(times, docs[id_col].eqNullSafe(times["__id"]) & (F.xxhash64(docs[text_col]) == times["__row"]))
-    return both.withColumn("__times", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*docs.columns)
+    both = both.withColumn("__times", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*docs.columns)
+    # At most one row a leaf; of equal rows of the leaf one is cut.
+    last = chosen.where("taken < n_tokens").select(F.col("id").alias("__id"), F.col("row").alias("__row"), *[F.col(n).alias(f"__{n}") for n in levels], F.col("taken").alias("__taken"))
+    same_leaf = [F.coalesce(c.cast("string"), F.lit("")) for c in levels.values()]
+    keyed = docs.withColumns({f"__leaf{k}": c for k, c in enumerate(same_leaf)} | {"__key": F.xxhash64(F.col(text_col))})
+    on = keyed[id_col].eqNullSafe(last["__id"]) & (keyed["__key"] == last["__row"])
+    for k, n in enumerate(levels):
+        on = on & (keyed[f"__leaf{k}"] == last[f"__{n}"])
+    found = keyed.join(last, on)
+    found = found.withColumn("__at", F.row_number().over(W.partitionBy(*[f"__{n}" for n in levels]).orderBy("__row"))).where("__at = 1")
+    return both.unionByName(found.withColumn(text_col, cut_text(F.col(text_col), F.col("__taken"))).select(*docs.columns))
