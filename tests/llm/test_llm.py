@@ -344,23 +344,6 @@ def test_licences(spark):
 # 7
 
 
-def test_attention_gradients_and_normalisation():
-    rng = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) + rng.normal(0, 0.05, v.shape) for k, v in lm.new_params().items()}
-    x, first, y, _ = lm.blocks([rng.integers(0, lm.IDS, n) for n in (40, 7, 1, 16)])
-    _, d = lm._gradients(p, x, first, y)
-    for k in ("E", "o", "w1", "w2", "c", "bc", "t", "bt"):
-        at = np.unravel_index(np.argmax(np.abs(d[k])), d[k].shape)
-        up, down = ({a: b.copy() for a, b in p.items()} for _ in range(2))
-        up[k][at] += 1e-3
-        down[k][at] -= 1e-3
-        change = -(lm.log_probs(up, x, first, y).astype(float).sum() - lm.log_probs(down, x, first, y).astype(float).sum()) / 2e-3
-        assert change == pytest.approx(d[k][at] * (y >= 0).sum(), rel=0.05, abs=0.05)
-    x, first, y, places = lm.blocks([np.array([5, 9, 77, k]) for k in range(lm.IDS)])
-    last = lm.log_probs(lm.new_params(), x, first, y)[places].reshape(-1, 4)[:, 3]
-    assert np.exp(last.astype(float)).sum() == pytest.approx(1, abs=1e-4)
-
-
 def test_lm_base_scores_and_counts(spark, monkeypatch):
     monkeypatch.setattr(lm, "HOT_WORDS", 5)
     random.seed(9)
