@@ -24,7 +24,6 @@ empty results (the unknown class then learns from the plain sentences below alon
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -220,26 +219,28 @@ def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     return written(weights.select("gram", "w", flags.alias("own"), F.coalesce("n", F.lit(0)).alias("n")), "licence-model")
 
 
-def _may_win(model: DataFrame, min_probability: float) -> Callable[[Column], Column]:
+def _may_win(model: DataFrame) -> Callable[[Column], Column]:
     """Whether a lower-cased text holds a telling word of the model. The model has MAX_GRAMS rows at most."""
     rows = model.orderBy("gram").collect()
     base = np.array(next(r.w for r in rows if r.gram == ""))
     w = np.array([r.w for r in rows if r.gram != ""]).reshape(-1, len(base))
-    # To win with at least this probability, a family's sum must beat that of the unknown class by its log odds.
-    odds = math.log(max(min_probability, 1e-9) / max(1 - min_probability, 1e-9)) if min_probability < 1 else 40.0
     cost: dict[str, float] = {}  # short words are frequent ones, so that a search for them spares little
     for r in rows:
         for word in set(r.gram.split(" ")):
             cost[word] = cost.get(word, 64 * 1000 * 4.0 ** -len(word)) + r.n / 4
-    words = telling_words([r.gram for r in rows if r.gram != ""], w[:, 1:] - w[:, :1], base[0] - base[1:] + min(odds, 0), cost)
+    words = telling_words([r.gram for r in rows if r.gram != ""], w[:, 1:] - w[:, :1], base[0] - base[1:], cost)
     if words is None:
         return lambda text: F.lit(True)
     return lambda text: text.rlike(words_pattern(words)) if words else F.lit(False)
 
 
 def scan(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_probability: float = MIN_PROBABILITY, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """(doc_id, paragraph, family, probability, overlap, confirmed) for each paragraph that isn't of the unknown class."""
-    n, may_win = len(FAMILIES), _may_win(model, min_probability)
+    """(doc_id, paragraph, family, probability, overlap, confirmed) for each paragraph that isn't of the unknown class.
+
+    A paragraph is reported if a family leads and all families together have min_probability at least; probability is the
+    leading family's own.
+    """
+    n, may_win = len(FAMILIES), _may_win(model)
     base = model.where("gram = ''").first()["w"]
     flat = model.where("gram <> ''").select("gram", *[F.get("w", k).alias(f"w{k}") for k in range(n)], *[F.get("own", k).alias(f"o{k}") for k in range(n)])
     lines = _paragraphs(docs.where(may_win(F.lower(F.col(text_col)))), id_col, text_col).where(may_win(F.lower("line")))
@@ -253,6 +254,7 @@ def scan(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: st
     probability = 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     family = F.get(F.array(*[F.lit(f) for f in FAMILIES]), F.col("k"))
     overlap = F.get("o", F.col("k")) / F.col("n_grams")
-    out = out.select("doc_id", "paragraph", family.alias("family"), probability.alias("probability"), overlap.alias("overlap"))
-    out = out.where((F.col("family") != UNKNOWN) & (F.col("probability") >= min_probability))
+    known = 1 - probability * F.exp(F.get("z", F.lit(0)) - F.col("top"))
+    out = out.select("doc_id", "paragraph", family.alias("family"), probability.alias("probability"), overlap.alias("overlap"), known.alias("known"))
+    out = out.where((F.col("family") != UNKNOWN) & (F.col("known") >= min_probability)).drop("known")
     return out.withColumn("confirmed", F.col("overlap") >= min_overlap)
