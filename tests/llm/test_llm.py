@@ -178,13 +178,13 @@ def test_components_of_a_chain_a_star_and_a_cycle(spark):
 
 def library_ids(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r\x0b\x1c\x85\xa0　'sdlé1.,<|>"), st.characters(codec="utf-8")), max_size=60))
 def test_ids_are_those_of_the_library(text):
+    text = text.replace("<|", "<|endoftext|>")
     assert np.frombuffer(packing.ids_of(packing.vocabulary_path())(text), "<u4").tolist() == library_ids(text)
 
 

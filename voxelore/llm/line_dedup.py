@@ -108,16 +108,20 @@ def dedup_lines(
     common = written(runs.totals().where(F.col("n_docs") >= min_docs).select("h", "max_id"), "line-common")
     drops = lines.join(common, "h").where(~F.col("id").eqNullSafe(F.col("max_id")))
     drops = written(drops.groupBy("id", "row").agg(F.collect_set("pos").alias("positions")), "line-drops")
-    drops = drops.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("positions").alias("__positions"))
-    out = docs.join(drops, docs[id_col].eqNullSafe(drops["__id"]) & (_row(id_col, text_col) == drops["__row"]), "left")
-    out = out.withColumn("__lines", _lines(text_col))
-    every = F.sequence(F.lit(0), F.size("__lines") - 1)
-    stay = F.array_except(every, F.col("__positions"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n")
-    none = F.col("__positions").isNull()
+    lead = "__"
+    while any(c.startswith(lead) for c in docs.columns):
+        lead += "_"
+    of_id, of_row, at, parts = (lead + n for n in ("id", "row", "positions", "lines"))
+    drops = drops.select(F.col("id").alias(of_id), F.col("row").alias(of_row), F.col("positions").alias(at))
+    out = docs.join(drops, docs[id_col].eqNullSafe(drops[of_id]) & (_row(id_col, text_col) == drops[of_row]), "left")
+    out = out.withColumn(parts, _lines(text_col))
+    every = F.sequence(F.lit(0), F.size(parts) - 1)
+    stay = F.array_except(every, F.col(at))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    none = F.col(at).isNull()
     return out.select(
         *[F.col(c) for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")],
         F.when(none, F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept).alias("kept_text"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.when(none, F.lit(0)).otherwise(F.size("__positions")).cast("long").alias("n_dropped"),
+        F.size(parts).cast("long").alias("n_lines"),
+        F.when(none, F.lit(0)).otherwise(F.size(at)).cast("long").alias("n_dropped"),
     )

@@ -11,7 +11,9 @@ Only DataFrame functions are used. Prefix sums run over 4096 buckets of the orde
 bucket, so that a leaf of a third of all rows is dealt over as many tasks. A document costs its words and one end mark.
 
 Defined cases: a null or empty text costs the end mark; null levels count as the empty label; weights of zero or less give
-nothing; equal ids share their place in the order and are told apart by the text's hash. Empty tables give empty results.
+nothing; equal ids share their place in the order and are told apart
+by the text's hash, equal rows by their number; each is taken by itself. Further columns pass through `mixed_rows` untouched,
+whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -84,9 +86,10 @@ def select_mix(
     text_col: str = "text",
     cut: bool = False,
 ) -> DataFrame:
-    """(id, row, levels..., n_tokens, epoch, budget): a row for each time that a document is taken.
+    """(id, row, nth, levels..., n_tokens, epoch, budget): a row for each time that a document is taken.
 
-    share: the root's budget as a part of all tokens. `row` tells rows of the same id apart by their text. cut: the document
+    share: the root's budget as a part of all tokens. `row` tells rows of the same id apart by their text, `nth` equal ones by
+    their number. cut: the document
     that crosses a leaf's budget is taken too; the column `taken` says how many of its tokens.
     """
     names = list(levels)
@@ -96,7 +99,8 @@ def select_mix(
         *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
         (words(F.col(text_col)) + 1).cast("long").alias("n_tokens"),
     )
-    rows = written(rows, "mix-rows")
+    # Equal rows (same id, text and leaf) are told apart by their number among themselves.
+    rows = written(rows.withColumn("nth", F.row_number().over(W.partitionBy("id", "row", *names).orderBy("n_tokens"))), "mix-rows")
     leaves = written(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
     total = F.floor(F.sum("tokens") * share).cast("double")
     given = written(budgets(leaves, names, total, weights or {}, max_epochs), "mix-budgets")
@@ -108,32 +112,33 @@ def select_mix(
     sums = part.groupBy(*names, "bucket").agg(F.sum("n_tokens").alias("in_bucket"), F.first("rest").alias("need"))
     before = F.coalesce(F.sum("in_bucket").over(W.partitionBy(*names).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("before", before).where("before < need").select(*names, "bucket", "before")
-    within = W.partitionBy(*names, "bucket").orderBy("order", "id", "row").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy(*names, "bucket").orderBy("order", "id", "row", "nth").rowsBetween(W.unboundedPreceding, 0)
     part = part.join(sums, [*names, "bucket"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
     part = part.where("upto - n_tokens < rest" if cut else "upto <= rest").withColumn("taken", F.least("n_tokens", F.expr("rest - (upto - n_tokens)")))
     whole = whole.withColumn("taken", F.col("n_tokens"))
-    out = ["id", "row", *names, "n_tokens", "epoch", "budget", *(["taken"] if cut else [])]
+    out = ["id", "row", "nth", *names, "n_tokens", "epoch", "budget", *(["taken"] if cut else [])]
     return whole.select(out).unionByName(part.select(out))
 
 
 def mixed_rows(docs: DataFrame, levels: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs in the mix, as often as they are taken, with their own columns; the last text of a leaf is cut to its budget."""
     chosen = written(select_mix(docs, levels, id_col=id_col, text_col=text_col, cut=True, **how), "mix-taken")
-    taken = chosen.where("taken = n_tokens")
-    # Rows with the same id and text are one row of docs here; each was taken by itself above.
-    times = taken.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n"))
-    same = docs.select(F.col(id_col).alias("same_id"), F.xxhash64(F.col(text_col)).alias("same_row")).groupBy("same_id", "same_row").agg(F.count(F.lit(1)).alias("m"))
-    times = times.join(same, F.col("id").eqNullSafe(F.col("same_id")) & (F.col("row") == F.col("same_row")))
-    times = times.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.ceil(F.col("n") / F.col("m")).cast("int").alias("__times"))
-    both = docs.join(times, docs[id_col].eqNullSafe(times["__id"]) & (F.xxhash64(docs[text_col]) == times["__row"]))
-    both = both.withColumn("__times", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*docs.columns)
-    # At most one row a leaf; of equal rows of the leaf one is cut.
-    last = chosen.where("taken < n_tokens").select(F.col("id").alias("__id"), F.col("row").alias("__row"), *[F.col(n).alias(f"__{n}") for n in levels], F.col("taken").alias("__taken"))
-    same_leaf = [F.coalesce(c.cast("string"), F.lit("")) for c in levels.values()]
-    keyed = docs.withColumns({f"__leaf{k}": c for k, c in enumerate(same_leaf)} | {"__key": F.xxhash64(F.col(text_col))})
-    on = keyed[id_col].eqNullSafe(last["__id"]) & (keyed["__key"] == last["__row"])
-    for k, n in enumerate(levels):
-        on = on & (keyed[f"__leaf{k}"] == last[f"__{n}"])
-    found = keyed.join(last, on)
-    found = found.withColumn("__at", F.row_number().over(W.partitionBy(*[f"__{n}" for n in levels]).orderBy("__row"))).where("__at = 1")
-    return both.unionByName(found.withColumn(text_col, cut_text(F.col(text_col), F.col("__taken"))).select(*docs.columns))
+    free = _free_names(docs.columns, ["id", "row", "nth", "taken", *[f"leaf{k}" for k in range(len(levels))]])
+    leaf = [free[f"leaf{k}"] for k in range(len(levels))]
+    keyed = docs.withColumns({free["row"]: F.xxhash64(F.col(text_col))} | {n: F.coalesce(c.cast("string"), F.lit("")) for n, c in zip(leaf, levels.values(), strict=True)})
+    keyed = keyed.withColumn(free["nth"], F.row_number().over(W.partitionBy(id_col, free["row"], *leaf).orderBy(free["row"])))
+    mine = chosen.select(F.col("id").alias(free["id"]), "row", "nth", *levels, F.when(F.col("taken") < F.col("n_tokens"), F.col("taken")).alias(free["taken"]))
+    on = keyed[id_col].eqNullSafe(mine[free["id"]]) & (keyed[free["row"]] == mine["row"]) & (keyed[free["nth"]] == mine["nth"])
+    for n, level in zip(leaf, levels, strict=True):
+        on = on & (keyed[n] == mine[level])
+    own = keyed.alias("own").join(mine, on)
+    text = F.when(F.col(free["taken"]).isNull(), F.col(f"own.`{text_col}`")).otherwise(cut_text(F.col(f"own.`{text_col}`"), F.col(free["taken"])))
+    return own.select(*[text.alias(c) if c == text_col else F.col(f"own.`{c}`") for c in docs.columns])
+
+
+def _free_names(taken: list[str], names: list[str]) -> dict[str, str]:
+    """A name for each, with as many underscores before it as no column has."""
+    lead = "__"
+    while any(c.startswith(lead) for c in taken):
+        lead += "_"
+    return {n: lead + n for n in names}

@@ -7,7 +7,7 @@ the bin with the least room that still holds it and, when it needs a further bin
 
 Token ids come from the vocabulary and rules of `byte_bpe_50k.json`. A token never spans a space that precedes a visible
 character, so texts are split at such spaces and the parts' ids are remembered; parts not seen yet go to the ranked form of
-the same vocabulary. A test holds both against the `tokenizers` library.
+the same vocabulary. The string of the special token is one id, as in the library. A test holds both against the `tokenizers` library.
 
 Defined cases: a null text is the empty text, which is the end mark alone. Null ids and repeated ids are packed like any
 other row. An empty table gives no pieces. Further columns are ignored.
@@ -32,6 +32,8 @@ from voxelore.llm.store import written
 CAPACITY, END_ID, OPEN_BINS, PACKER_PIECES = 1024, 2, 1024, 50_000
 #: Parts of texts that a worker remembers at most; beyond that it starts afresh.
 MEMO = 400_000
+#: The vocabulary's special token, and its id as it is written.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", np.array([50_256], "<u4").tobytes()
 _UNSAFE = re.compile(r" (?=\s|\Z)")
 
 
@@ -64,6 +66,8 @@ class Ids:
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if SPECIAL in text:  # the library takes it out before anything else
+            return SPECIAL_ID.join([self(part) if part else b"" for part in text.split(SPECIAL)])
         if _UNSAFE.search(text):
             return np.array(self.encode(text), "<u4").tobytes()
         first, *rest = text.split(" ")

@@ -53,7 +53,7 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(x or b"") for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,19 +154,47 @@ def near_links(classes: DataFrame, radius: int = 4, prefix_bits: int = 10) -> Da
     return sent.groupBy("prefix").applyInPandas(_links(prefix_bits, radius), "u long, v long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """(id, fp, component_id): the least id that can be reached over links of at most `radius` differing bits."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """(id, fp, root, component_id) for each row; root: the least fingerprint of its group, component_id: the least id."""
     members = written(fingerprints(docs, id_col, text_col), "simhash-members")
     classes = written(members.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
     roots = written(connected_components(near_links(classes.select("fp"), radius)), "simhash-roots")
     named = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    names = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return members.join(names, "fp").select("id", "fp", "component_id")
+    named = roots.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    names = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return members.join(names, "fp").select("id", "fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+    """(id, fp, component_id): the least id that can be reached over links of at most `radius` differing bits."""
+    return _grouped(docs, id_col, text_col, radius).select("id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group of near-duplicates."""
-    groups = near_groups(docs, id_col, text_col, radius)
-    stays = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["__id"]), "left_semi")
+    """One row of docs for each group of near-duplicates, one whose id names the group.
+
+    Where that id has several rows, one with the least fingerprint among the group's stays, whichever of equal ones. Null
+    ids are an id like any other, named only where a group has no other. Further columns pass through untouched, whatever
+    their names. An empty table gives an empty result.
+    """
+    groups = written(_grouped(docs, id_col, text_col, radius), "simhash-groups")
+    heads = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "id")).alias("head"))
+    lead = "__"
+    while any(c.startswith(lead) for c in docs.columns):
+        lead += "_"
+    here, print_of, key = f"{lead}id", f"{lead}fp", f"{lead}key"
+    rows_of = groups.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    heads = heads.select(F.col("head.id").alias("id"), F.col("head.fp").alias("fp")).join(rows_of.withColumnRenamed("id", "same"), F.col("id").eqNullSafe(F.col("same")))
+    heads = written(heads.select(F.col("id").alias(here), F.col("fp").alias(print_of), "n"), "simhash-heads")
+    single, several = heads.where("n = 1").select(here), heads.where("n > 1").select(here, print_of)
+    alone = docs.join(single, docs[id_col].cast("long").eqNullSafe(single[here]), "left_semi")
+    if several.isEmpty():
+        return alone
+    # Ids with several rows: their fingerprints say which of the rows is meant.
+    ids = several.select(here).distinct()
+    own = docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids[here]), "left_semi").withColumn(key, F.xxhash64(F.col(text_col)))
+    prints = own.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(key).alias("k")).distinct()
+    prints = prints.mapInArrow(_fingerprints, "id long, fp long, k long").join(several, F.col("id").eqNullSafe(F.col(here)) & (F.col("fp") == F.col(print_of)))
+    prints = prints.select(F.col("id").alias(here), F.col("k").alias(f"{key}2"), F.col("fp").alias(print_of))
+    found = own.join(prints, own[id_col].cast("long").eqNullSafe(prints[here]) & (own[key] == prints[f"{key}2"])).dropDuplicates([here, print_of])
+    return alone.unionByName(found.select(*[F.col(f"`{c}`") for c in docs.columns]))
