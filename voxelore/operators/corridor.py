@@ -64,9 +64,9 @@ def tubes(rows: DataFrame, widths: DataFrame, voxel_size: float, margin: float =
 
 
 def half_spaces(tube: DataFrame) -> DataFrame:
-    """(qid, section, width, a, b): the six rows of A and b."""
-    a = F.array(*[F.array(*[s * F.col(f"{axis}{n}") for n in range(3)]) for axis in "duv" for s in (F.lit(1.0), F.lit(-1.0))])
-    b = F.array(*[x for axis in "duv" for x in (F.col(f"hi_{axis}"), -F.col(f"lo_{axis}"))])
+    """(qid, section, width, a, b): the six rows of A and b, those of the three axes before their opposites."""
+    a = F.array(*[F.array(*[s * F.col(f"{axis}{n}") for n in range(3)]) for s in (F.lit(1.0), F.lit(-1.0)) for axis in "duv"])
+    b = F.array(*[F.col(f"hi_{axis}") for axis in "duv"], *[-F.col(f"lo_{axis}") for axis in "duv"])
     return tube.select("qid", "section", "width", a.alias("a"), b.alias("b"))
 
 

@@ -120,7 +120,7 @@ def shortest_costs(edges: DataFrame, goals: DataFrame, reverse: bool = False, ma
     """edges(src, dst, w), goals(goal) -> (goal, node, cost) for all nodes reached, all goals in one fixpoint.
 
     Costs run along the edges from the goal, as the reference semantics have it; `reverse` gives costs to the goal. Only
-    rows that improved go on to the next round, and each round is written to the shared folder.
+    rows that improved go on to the next round, and each round is written to the shared folder. More than max_rounds is an error.
     """
     spark = edges.sparkSession
     e = edges.select(*[F.col(c).alias(n) for c, n in zip(("dst", "src") if reverse else ("src", "dst"), ("a", "b"), strict=True)], "w")
@@ -135,8 +135,8 @@ def shortest_costs(edges: DataFrame, goals: DataFrame, reverse: bool = False, ma
         remove(spark, known_path)
         known_path = at
         if known.where("fresh").isEmpty():
-            break
-    return known.drop("fresh")
+            return known.drop("fresh")
+    raise RuntimeError(f"costs did not settle in {max_rounds} rounds")
 
 
 def missing_goals(wanted: DataFrame, cache: DataFrame) -> DataFrame:

@@ -93,8 +93,9 @@ def search(g: Graph, s: int, goal: int, start: np.ndarray, end: np.ndarray, h: n
 RESULT = "qid long, success boolean, reason string, nodes_expanded long, cost double, start_snap double, goal_snap double, path array<long>"
 
 
-def astar(queries: DataFrame, snaps: DataFrame, nodes: DataFrame, adjacency: DataFrame, scale: DataFrame, costs: Costs = Costs(), alpha: float = 1.0, uncertain: bool = True) -> DataFrame:
-    """One row a query. snaps: (pid, uid, d) of starts (2 qid) and goals (2 qid + 1); a snap beyond the limit fails the query."""
+def astar(queries: DataFrame, snaps: DataFrame, nodes: DataFrame, adjacency: DataFrame, scale: DataFrame, costs: Costs = Costs(), alpha: float = 1.0, uncertain: bool = True, learned: DataFrame | None = None) -> DataFrame:
+    """One row a query. learned(qid, uid, h): estimates to use, times alpha and 0 at least; the hand-made ones serve where a query has none, or
+    where one is missing or not finite. snaps: (pid, uid, d) of starts (2 qid) and goals (2 qid + 1); a snap beyond the limit fails the query."""
     spark = queries.sparkSession
     if (n := adjacency.count()) > MAX_EDGES:
         raise ValueError(f"{n} edges are too many to search in one task; use paths.shortest_costs")
@@ -104,7 +105,7 @@ def astar(queries: DataFrame, snaps: DataFrame, nodes: DataFrame, adjacency: Dat
     ends = [snaps.where(F.col("pid") % 2 == k).select(F.floor(F.col("pid") / 2).alias("qid"), F.col("uid").alias(f"{p}_uid"), F.col("d").alias(f"{p}_snap")) for k, p in ((0, "start"), (1, "goal"))]
     rows = queries.join(ends[0], "qid").join(ends[1], "qid").crossJoin(F.broadcast(scale))  # one row
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame, own: pd.DataFrame | None) -> pd.DataFrame:
         g, out = graph.value, []
         for r in group.itertuples():
             base = {"qid": r.qid, "start_snap": r.start_snap, "goal_snap": r.goal_snap}
@@ -113,11 +114,18 @@ def astar(queries: DataFrame, snaps: DataFrame, nodes: DataFrame, adjacency: Dat
                 continue
             start, end = np.array([r.s_x, r.s_y, r.s_z]), np.array([r.g_x, r.g_y, r.g_z])
             h = np.maximum(np.linalg.norm(g.xyz - end, axis=1) * r.scale + extra.value, 0)
+            if own is not None:
+                given = np.full(len(h), np.nan)
+                given[own["uid"].to_numpy()] = own["h"].to_numpy()
+                h = np.where(np.isfinite(given), np.maximum(alpha * given, 0), h)
             path, expanded, reason, cost = search(g, r.start_uid, r.goal_uid, start, end, h, costs)
             out.append(base | {"success": bool(path), "reason": reason, "nodes_expanded": expanded, "cost": cost if path else None, "path": [int(x) for x in path]})
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, columns=[field.split()[0] for field in RESULT.split(", ")])
 
-    return rows.groupBy("qid").applyInPandas(run, RESULT)
+    if learned is not None:
+        kept = learned.join(rows.select("qid"), "qid", "left_semi").select("qid", "uid", "h")
+        return rows.groupBy("qid").cogroup(kept.groupBy("qid")).applyInPandas(run, RESULT)
+    return rows.groupBy("qid").applyInPandas(lambda group: run(group, None), RESULT)
 
 
 def path_points(results: DataFrame, nodes: DataFrame) -> DataFrame:

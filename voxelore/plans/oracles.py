@@ -140,7 +140,7 @@ h0 AS (SELECT min(x - rad) AS ox, min(y - rad) AS oy, min(z - rad) AS oz FROM ho
 hb AS (SELECT gid, cx, cy, unnest(range(floor((z - rad - oz) / 0.3::double)::bigint, ceil((z + rad - oz) / 0.3::double)::bigint + 1)) AS cz FROM
        (SELECT *, unnest(range(floor((y - rad - oy) / 0.3::double)::bigint, ceil((y + rad - oy) / 0.3::double)::bigint + 1)) AS cy FROM
         (SELECT *, unnest(range(floor((x - rad - ox) / 0.3::double)::bigint, ceil((x + rad - ox) / 0.3::double)::bigint + 1)) AS cx FROM ho, h0))),
-hp AS (SELECT gid AS pid, x + 0.02::double AS x, y + 0.02::double AS y, z + 0.02::double AS z FROM g WHERE gid % 7 = 0),
+hp AS (SELECT gid AS pid, x + 0.02::double AS x, y + 0.02::double AS y, z + 0.02::double AS z FROM g),
 hc AS (SELECT DISTINCT pid, hb.gid FROM hp, h0, hb WHERE hb.cx BETWEEN floor((hp.x - 0.05::double - ox) / 0.3::double) AND ceil((hp.x + 0.05::double - ox) / 0.3::double)
        AND hb.cy BETWEEN floor((hp.y - 0.05::double - oy) / 0.3::double) AND ceil((hp.y + 0.05::double - oy) / 0.3::double)
        AND hb.cz BETWEEN floor((hp.z - 0.05::double - oz) / 0.3::double) AND ceil((hp.z + 0.05::double - oz) / 0.3::double))"""
@@ -164,7 +164,7 @@ ORACLE_SQL: dict[str, str] = {
     "covariance_inverse": _ROT,
     "density_field": B + f"SELECT vid, {q('rho')} FROM r",
     "density_gradient": B + f"SELECT vid, {_GRAD} FROM v LEFT JOIN (SELECT vid, {_GSUM} FROM pr WHERE d2 < 9 GROUP BY vid) USING (vid)",
-    "density_at_points": B + f""", pp AS (SELECT gid AS pid, x + 0.01::double AS x, y + 0.01::double AS y, z + 0.01::double AS z FROM g WHERE gid % 5 = 0),
+    "density_at_points": B + f""", pp AS (SELECT gid AS pid, x + 0.01::double AS x, y + 0.01::double AS y, z + 0.01::double AS z FROM g),
         pq AS (SELECT pid, gw.*, pp.x - gw.x AS dx, pp.y - gw.y AS dy, pp.z - gw.z AS dz, pow((pp.x - gw.x) / sx, 2) + pow((pp.y - gw.y) / sy, 2) + pow((pp.z - gw.z) / sz, 2) AS d2 FROM pp, gw)
         SELECT pid, {q('least(1e6, coalesce(rho, 0))', 'rho')}, {_GRAD} FROM pp LEFT JOIN (SELECT pid, sum(w * exp(-0.5::double * d2)) AS rho, {_GSUM} FROM pq WHERE d2 < 9 GROUP BY pid) USING (pid)""",
     "classify_fixed": B + "SELECT vid, CASE WHEN NOT isfinite(rho) THEN 2 WHEN rho > 500 THEN -1 WHEN rho = 0 THEN 0 WHEN rho > 0 THEN 1 ELSE 2 END::int AS node_type FROM r",
@@ -214,7 +214,7 @@ ORACLE_SQL: dict[str, str] = {
     + f"SELECT src, dst, {q('3.0::double * sum(coalesce(exp(-pow(near / 0.04::double, 2)), 0)) / any_value(m) * (0.5::double + 0.5::double * least(1.0::double, any_value(len) / 0.04::double))', 'penalty')} FROM en GROUP BY src, dst",
     "segment_clear": _with(BASE, STD, AROUND, NODES, EDGES, SAMPLES.format(m="least(64, greatest(8, ceil(len / 0.01::double)))"))
     + "SELECT src, dst, coalesce(min(near), 1) >= 0.02::double * 1.05::double AS clear FROM en GROUP BY src, dst",
-    "shortest_costs": P.replace("WITH ", "WITH RECURSIVE ", 1) + f""", em_ AS MATERIALIZED (SELECT src, dst, w FROM ue), gl AS MATERIALIZED (SELECT DISTINCT uid AS goal FROM sn WHERE pid % 2 = 1 AND pid < 6),
+    "shortest_costs": P.replace("WITH ", "WITH RECURSIVE ", 1) + f""", em_ AS MATERIALIZED (SELECT src, dst, w FROM ue), gl AS MATERIALIZED (SELECT DISTINCT uid AS goal FROM sn WHERE pid % 2 = 1),
         sp(goal, node, cost) USING KEY (goal, node) AS (SELECT goal, goal, 0.0::double FROM gl UNION
           (SELECT sp.goal, em_.dst, min(sp.cost + em_.w) FROM sp JOIN em_ ON em_.src = sp.node LEFT JOIN recurring.sp k ON k.goal = sp.goal AND k.node = em_.dst
            WHERE k.cost IS NULL OR sp.cost + em_.w < k.cost GROUP BY sp.goal, em_.dst))
@@ -223,7 +223,8 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 _PATHS = """
-pt AS (SELECT gid % 2 AS qid, gid // 2 AS seq, x, y, z, op AS f9, (gid // 2) % 2 AS node_type FROM g WHERE gid < 48),
+p0 AS (SELECT gid // 24 AS qid, row_number() OVER (PARTITION BY gid // 24 ORDER BY gid) - 1 AS seq, x, y, z, op AS f9 FROM g),
+pt AS (SELECT *, seq % 2 AS node_type FROM p0),
 cnt AS (SELECT qid, count(*) AS k FROM pt GROUP BY qid),
 sgs AS (SELECT a.qid, a.seq, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2)) AS len FROM pt a JOIN pt b ON a.qid = b.qid AND b.seq = a.seq + 1),
 sct AS (SELECT DISTINCT p.qid, p.seq, least(s.seq // 5, 5) AS section, p.x, p.y, p.z, p.f9, p.node_type FROM pt p JOIN sgs s ON s.qid = p.qid AND p.seq IN (s.seq, s.seq + 1)),
@@ -252,8 +253,16 @@ _TUBE = """, ed AS (SELECT qid, section, arg_min(x, seq) AS ax, arg_min(y, seq)
                       min(pd) AS nd, max(pd) AS xd, min(pu) AS nu, max(pu) AS xu, min(pv) AS nv, max(pv) AS xv FROM pj GROUP BY qid, section),
         lt AS (SELECT *, greatest(greatest(abs(nu), abs(xu)) + pad, 0.05::double) AS lu, greatest(greatest(abs(nv), abs(xv)) + pad, 0.05::double) AS lv FROM mx)"""
 
+#: Rows of A and b: the three axes, then their opposites.
+_FACES = ", l2 AS (SELECT lt.*, e7.u0, e7.u1, e7.u2, e7.v0, e7.v1, e7.v2, wd.width FROM lt JOIN e7 USING (qid, section) JOIN wd USING (qid, section)), fc AS (" + " UNION ALL ".join(
+    f"SELECT qid, section, {face}::bigint AS face, {sign}{a}0 AS a0, {sign}{a}1 AS a1, {sign}{a}2 AS a2, {b} AS b, width FROM l2"
+    for face, (a, sign, b) in enumerate(
+        [("d", "", "xd + pad"), ("u", "", "greatest(xu + pad, lu)"), ("v", "", "greatest(xv + pad, lv)"), ("d", "-", "-(nd - pad)"), ("u", "-", "-least(nu - pad, -lu)"), ("v", "-", "-least(nv - pad, -lv)")]
+    )
+) + ")"
+
 _COSTS = """
-co AS (SELECT gn.uid AS goal, n.uid AS node, n.*, sqrt(pow(n.x - gn.x, 2) + pow(n.y - gn.y, 2) + pow(n.z - gn.z, 2)) AS far FROM n, n gn WHERE gn.uid < 2),
+co AS (SELECT gn.uid AS goal, n.uid AS node, n.*, sqrt(pow(n.x - gn.x, 2) + pow(n.y - gn.y, 2) + pow(n.z - gn.z, 2)) AS far FROM n, n gn WHERE gn.uid IN (SELECT uid FROM sn WHERE pid % 2 = 1)),
 cc AS (SELECT *, 3 * far + f6 AS cost, 2 * far AS geo, 2.7::double * far + 0.1::double * f13 AS pred FROM co),
 tg AS (SELECT goal, node, cost, geo, pred, cost + 3 * (1 - least(greatest(f15, 0), 1)) + 1.5::double * greatest(f14, 0) + 1.6::double * sqrt(f3*f3 + f4*f4 + f5*f5) AS target FROM cc),
 rs AS (SELECT goal, greatest(avg(abs(target)), 1) AS scale, max(target) AS top, count(*) AS n FROM tg GROUP BY goal),
@@ -264,7 +273,7 @@ pk AS (SELECT goal, scale, n, unnest(range(least(2048, 4 * n))) AS k FROM rs WHE
 rk AS (SELECT pk.goal, avg(greatest(0.05::double - (b.pred - a.pred) / scale * sign(b.target - a.target), 0)) AS rank FROM pk
        JOIN pl a ON a.goal = pk.goal AND a.place = (k * 7919) % n JOIN pl b ON b.goal = pk.goal AND b.place = (k * 104729 + 13) % n
        WHERE a.place <> b.place AND abs(b.target - a.target) > 0.005::double * scale GROUP BY pk.goal)"""
-_C, _CE = _with(BASE, STD, AROUND, NODES, _COSTS), _with(BASE, STD, AROUND, NODES, EDGES, _COSTS)
+_C = _CE = _with(BASE, STD, AROUND, NODES, EDGES, QUERY_ROWS, _COSTS)
 
 
 def _mono(where: str) -> str:
@@ -283,6 +292,9 @@ ORACLE_SQL |= {
     "corridor_width": _G + f"SELECT qid, section, {q('width')} FROM wd",
     "corridor_tubes": _G + _TUBE + f"""SELECT qid, section, {qs('d0', 'd1', 'd2')}, {q('nd - pad', 'lo_d')}, {q('xd + pad', 'hi_d')}, {q('least(nu - pad, -lu)', 'lo_u')}, {q('greatest(xu + pad, lu)', 'hi_u')},
         {q('least(nv - pad, -lv)', 'lo_v')}, {q('greatest(xv + pad, lv)', 'hi_v')} FROM lt""",
+    "corridor_half_spaces": _G + _TUBE + _FACES + f"SELECT qid, section, face, {qs('a0', 'a1', 'a2', 'b')} FROM fc",
+    "corridor_shrink": _G + _TUBE + _FACES + f"""SELECT qid, section, face, {q('a0 / nm', 'a0')}, {q('a1 / nm', 'a1')}, {q('a2 / nm', 'a2')}, {q('b / nm - 0.02::double - (1 - width) * 0.05::double', 'b')}
+        FROM (SELECT *, greatest(sqrt(a0*a0 + a1*a1 + a2*a2), 1e-8) AS nm FROM fc)""",
     "segment_clearance": _GW + f"SELECT qid, seq, {q('clearance')} FROM cl",
     "trajectory_collision": _GW + "SELECT qid, bool_or(clearance < 0.02::double) AS collides FROM cl GROUP BY qid",
     "smooth_sweep": _G + f""", sw AS (SELECT o.qid, o.seq, o.x, o.y, o.z, p.x AS px, n.x AS nx, {_STEP} FROM pt o LEFT JOIN pt p ON p.qid = o.qid AND p.seq = o.seq - 1 LEFT JOIN pt n ON n.qid = o.qid AND n.seq = o.seq + 1),
@@ -306,7 +318,7 @@ ORACLE_SQL |= {
     "composite_target": _C + f"SELECT goal, node, {q('target')} FROM tg",
     "pointwise_loss": _C + f"SELECT goal, {qs('mse', 'over')} FROM pw",
     "ranking_loss": _C + f"SELECT goal, {q('coalesce(rank, 0)', 'rank')} FROM rs LEFT JOIN rk USING (goal)",
-    "monotonic_loss": _CE + _mono("node % 3 <> 0") + f"SELECT goal, {q('mono')} FROM mo",
+    "monotonic_loss": _CE + _mono("true") + f"SELECT goal, {q('mono')} FROM mo",
     "simple_loss": _C + f"SELECT {q('avg(pow(pred - target, 2)) + 0.5::double * avg(greatest(pred - target, 0))', 'loss')} FROM tg",
     "total_loss": _CE + _mono("true") + f""", en AS (SELECT goal, max(pred) AS sh, min(pred) AS gh FROM tg GROUP BY goal),
         bi AS (SELECT goal, greatest(gh - 0.05::double * scale, 0) + greatest(abs(top - sh) - 0.1::double * greatest(top, 1), 0) AS bias FROM rs JOIN en USING (goal))

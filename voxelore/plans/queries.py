@@ -23,15 +23,14 @@ def query(f: Query) -> Query:
     return f
 
 
-def both(f: Callable) -> Callable:
-    """Registers f(scene, every) twice: over the rows that its SQL names, and as `<name>_whole` over all rows."""
-    for suffix, every in (("", False), ("_whole", True)):
+def on_scene(f: Callable) -> Callable:
+    """Registers f(scene)."""
 
-        def run(spark, d, every=every):
-            return f(scene(spark, d), every)
+    def run(spark, d):
+        return f(scene(spark, d))
 
-        run.__name__, run.__doc__ = f.__name__ + suffix, f.__doc__
-        query(run)
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    query(run)
     return f
 
 
@@ -73,11 +72,11 @@ def density_gradient(spark, d):
     return density.gradient_field(s.gaussians, s.grid).select("vid", *[q(f"g{k}", 1e3).alias(f"g{k}") for k in "xyz"])
 
 
-@both
-def density_at_points(s, every):
-    """At the means of every fifth Gaussian or of all, moved by 0.01."""
+@on_scene
+def density_at_points(s):
+    """At the means of all Gaussians, moved by 0.01."""
     g = s.gaussians
-    points = g.where("true" if every else "gid % 5 = 0").select(F.col("gid").alias("pid"), *[(F.col(k) + 0.01).alias(k) for k in "xyz"])
+    points = g.select(F.col("gid").alias("pid"), *[(F.col(k) + 0.01).alias(k) for k in "xyz"])
     return density.at_points(g, points).select("pid", *_q("rho"), *[q(f"g{k}", 1e3).alias(f"g{k}") for k in "xyz"])
 
 
@@ -227,10 +226,10 @@ def graph_stats(spark, d):
 HASH_CELL = 0.3
 
 
-def _hash(s, every=False):
+def _hash(s):
     g = s.gaussians
     origin = hashgrid.origin_of(g)
-    points = g.where("true" if every else "gid % 7 = 0").select(F.col("gid").alias("pid"), *[(F.col(k) + 0.02).alias(k) for k in "xyz"])
+    points = g.select(F.col("gid").alias("pid"), *[(F.col(k) + 0.02).alias(k) for k in "xyz"])
     return g, points, hashgrid.build(g, HASH_CELL, origin), origin
 
 
@@ -239,15 +238,15 @@ def hash_build(spark, d):
     return _hash(scene(spark, d))[2]
 
 
-@both
-def hash_candidates(s, every):
-    _, points, table, origin = _hash(s, every)
+@on_scene
+def hash_candidates(s):
+    _, points, table, origin = _hash(s)
     return hashgrid.candidates(table, points, HASH_CELL, origin, 0.05)
 
 
-@both
-def hash_knn(s, every):
-    g, points, table, origin = _hash(s, every)
+@on_scene
+def hash_knn(s):
+    g, points, table, origin = _hash(s)
     return hashgrid.nearest(hashgrid.candidates(table, points, HASH_CELL, origin, 0.05), points, g, 5).select("pid", F.col("rank").cast("long").alias("rank"), "gid", *_q("d"))
 
 
@@ -300,38 +299,34 @@ def segment_clear(spark, d):
     return paths.segment_clear(s.unified, s.nodes, s.voxels, s.grid)
 
 
-def _goals(s, every=False) -> DataFrame:
-    """Of the first three queries, or of all."""
-    got = paths.snap(s.points, s.nodes, s.grid).where("pid % 2 = 1")
-    return got.where("true" if every else "pid < 6").select(F.col("uid").alias("goal")).distinct()
+def _goals(s) -> DataFrame:
+    """Of all queries."""
+    return paths.snap(s.points, s.nodes, s.grid).where("pid % 2 = 1").select(F.col("uid").alias("goal")).distinct()
 
 
-@both
-def shortest_costs(s, every):
-    return paths.shortest_costs(s.unified, _goals(s, every)).select("goal", "node", *_q("cost"))
+@on_scene
+def shortest_costs(s):
+    return paths.shortest_costs(s.unified, _goals(s)).select("goal", "node", *_q("cost"))
 
 
 @query
 def goal_cost_cache(spark, d):
-    """Goals of all queries that aren't among those of the first three."""
+    """Goals of all queries that aren't in a cache of the first three's."""
     s = scene(spark, d)
-    wanted = paths.snap(s.points, s.nodes, s.grid).where("pid % 2 = 1").select(F.col("uid").alias("goal"))
-    return paths.missing_goals(wanted, _goals(s))
+    cache = paths.snap(s.points, s.nodes, s.grid).where("pid % 2 = 1 and pid < 6").select(F.col("uid").alias("goal"))
+    return paths.missing_goals(_goals(s), cache)
 
 
-# Paths: two of the scene's own points in turn, so that SQL can make the same ones, or all of them, 24 a path
+# Paths: all of the scene's own points in turn, 24 a path
 
 PATH_POINTS = 24
 
 
-def _paths(s, every=False) -> DataFrame:
-    if every:
-        qid = F.floor(F.col("gid") / PATH_POINTS).cast("long")
-        seq = (F.row_number().over(W.partitionBy("qid").orderBy("gid")) - 1).cast("int")
-        g = s.gaussians.withColumn("qid", qid).withColumn("seq", seq)
-        return g.select("qid", "seq", "x", "y", "z", F.col("opacity").alias("f9"), (F.col("seq") % 2).alias("node_type"))
-    g = s.gaussians.where("gid < 48")
-    return g.select((F.col("gid") % 2).alias("qid"), F.expr("cast(gid div 2 as int)").alias("seq"), "x", "y", "z", F.col("opacity").alias("f9"), (F.expr("cast(gid div 2 as int)") % 2).alias("node_type"))
+def _paths(s) -> DataFrame:
+    qid = F.floor(F.col("gid") / PATH_POINTS).cast("long")
+    seq = (F.row_number().over(W.partitionBy("qid").orderBy("gid")) - 1).cast("int")  # PATH_POINTS rows a partition
+    g = s.gaussians.withColumn("qid", qid).withColumn("seq", seq)
+    return g.select("qid", "seq", "x", "y", "z", F.col("opacity").alias("f9"), (F.col("seq") % 2).alias("node_type"))
 
 
 def _walls(s) -> DataFrame:
@@ -342,70 +337,76 @@ def _xyz(df: DataFrame) -> DataFrame:
     return df.select("qid", F.col("seq").cast("long").alias("seq"), *_q("x", "y", "z"))
 
 
-@both
-def path_profile(s, every):
-    return paths.path_profile(_paths(s, every)).where("slope is not null").select("qid", F.col("seq").cast("long").alias("seq"), *_q("slope", "curvature"))
+@on_scene
+def path_profile(s):
+    return paths.path_profile(_paths(s)).where("slope is not null").select("qid", F.col("seq").cast("long").alias("seq"), *_q("slope", "curvature"))
 
 
-@both
-def path_sections(s, every):
-    return corridor.sections(_paths(s, every)).select("qid", F.col("seq").cast("long").alias("seq"), F.col("section").cast("long").alias("section"))
+@on_scene
+def path_sections(s):
+    return corridor.sections(_paths(s)).select("qid", F.col("seq").cast("long").alias("seq"), F.col("section").cast("long").alias("section"))
 
 
-@both
-def corridor_width(s, every):
-    return corridor.section_widths(corridor.sections(_paths(s, every))).select("qid", F.col("section").cast("long").alias("section"), *_q("width"))
+@on_scene
+def corridor_width(s):
+    return corridor.section_widths(corridor.sections(_paths(s))).select("qid", F.col("section").cast("long").alias("section"), *_q("width"))
 
 
-def _tubes(s, every) -> DataFrame:
-    rows = corridor.sections(_paths(s, every))
+def _tubes(s) -> DataFrame:
+    rows = corridor.sections(_paths(s))
     return corridor.tubes(rows, corridor.section_widths(rows), s.grid.voxel_size)
 
 
-@both
-def corridor_tubes(s, every):
-    return _tubes(s, every).select("qid", F.col("section").cast("long").alias("section"), *_q("d0", "d1", "d2", "lo_d", "hi_d", "lo_u", "hi_u", "lo_v", "hi_v"))
+@on_scene
+def corridor_tubes(s):
+    return _tubes(s).select("qid", F.col("section").cast("long").alias("section"), *_q("d0", "d1", "d2", "lo_d", "hi_d", "lo_u", "hi_u", "lo_v", "hi_v"))
+
+
+def _faces(corridors: DataFrame) -> DataFrame:
+    """One row for each row of A and b."""
+    rows = corridors.select("qid", F.col("section").cast("long").alias("section"), "b", F.posexplode("a").alias("face", "row"))
+    return rows.select("qid", "section", F.col("face").cast("long").alias("face"), *[q(F.get("row", n)).alias(f"a{n}") for n in range(3)], q(F.get("b", F.col("face"))).alias("b"))
 
 
 @query
 def corridor_half_spaces(spark, d):
-    return corridor.half_spaces(_tubes(scene(spark, d), True))
+    return _faces(corridor.half_spaces(_tubes(scene(spark, d))))
 
 
 @query
 def corridor_shrink(spark, d):
-    return corridor.shrink(corridor.half_spaces(_tubes(scene(spark, d), True)))
+    return _faces(corridor.shrink(corridor.half_spaces(_tubes(scene(spark, d)))))
 
 
-@both
-def segment_clearance(s, every):
-    return trajectory.clearance(_paths(s, every), _walls(s)).select("qid", F.col("seq").cast("long").alias("seq"), *_q("clearance"))
+@on_scene
+def segment_clearance(s):
+    return trajectory.clearance(_paths(s), _walls(s)).select("qid", F.col("seq").cast("long").alias("seq"), *_q("clearance"))
 
 
-@both
-def trajectory_collision(s, every):
-    return trajectory.collides(_paths(s, every), _walls(s), s.grid.robot_radius)
+@on_scene
+def trajectory_collision(s):
+    return trajectory.collides(_paths(s), _walls(s), s.grid.robot_radius)
 
 
-@both
-def smooth_sweep(s, every):
-    p = _paths(s, every)
+@on_scene
+def smooth_sweep(s):
+    p = _paths(s)
     return _xyz(trajectory.smooth_sweep(p.select("qid", "seq", "x", "y", "z"), p))
 
 
-@both
-def resample_polyline(s, every):
-    return _xyz(trajectory.resample_arc(_paths(s, every), 0.05))
+@on_scene
+def resample_polyline(s):
+    return _xyz(trajectory.resample_arc(_paths(s), 0.05))
 
 
-@both
-def trajectory_metrics(s, every):
-    return trajectory.metrics(_paths(s, every), _walls(s)).select("qid", "n_points", *_q("path_length", "min_collision_dist", "smoothness"))
+@on_scene
+def trajectory_metrics(s):
+    return trajectory.metrics(_paths(s), _walls(s)).select("qid", "n_points", *_q("path_length", "min_collision_dist", "smoothness"))
 
 
-@both
-def trial_summary(s, every):
-    trials = trajectory.metrics(_paths(s, every), _walls(s)).select(F.lit("own").alias("planner"), (F.col("qid") >= 0).alias("success"), "path_length", "min_collision_dist", "smoothness")
+@on_scene
+def trial_summary(s):
+    trials = trajectory.metrics(_paths(s), _walls(s)).select(F.lit("own").alias("planner"), (F.col("qid") >= 0).alias("success"), "path_length", "min_collision_dist", "smoothness")
     return trajectory.trial_summary(trials).select("planner", "n", *_q("success_rate", "mean_path_length", "std_path_length", "mean_min_collision_dist", "mean_smoothness"))
 
 
@@ -413,7 +414,7 @@ def trial_summary(s, every):
 def force_endpoints(spark, d):
     """Paths take the scene's queries in turn."""
     s = scene(spark, d)
-    points = _paths(s, True)
+    points = _paths(s)
     turn = (F.col("path") % len(QUERIES)).alias("qid")
     ends = points.select(F.col("qid").alias("path")).distinct().select("path", turn).join(s.queries, "qid").drop("qid").withColumnRenamed("path", "qid")
     return _xyz(trajectory.force_ends(points, ends))
@@ -429,6 +430,16 @@ def astar_results(spark, d):
     return _found(scene(spark, d))
 
 
+@query
+def astar_learned(spark, d):
+    """The search with the network's estimates instead of the hand-made ones."""
+    s = scene(spark, d)
+    w = network.new_weights()
+    scale = paths.cost_scale(s.hetero, s.grid.voxel_size)
+    learned = network.decode(network.encode(s.nodes, s.unified, w), s.nodes, s.queries, w, scale.first()[0])
+    return search.astar(s.queries, paths.snap(s.points, s.nodes, s.grid), s.nodes, s.adjacency, scale, learned=learned)
+
+
 @query
 def astar_paths(spark, d):
     s = scene(spark, d)
@@ -476,51 +487,51 @@ def random_pairs(spark, d):
     return training.random_pairs(1000, 100, spark)
 
 
-def _costs(s, every=False) -> DataFrame:
-    """Made-up costs of two goals, so that SQL can make the same ones, or of the goals of all queries."""
-    goals = s.nodes.join(_goals(s, True).withColumnRenamed("goal", "uid"), "uid") if every else s.nodes.where("uid < 2")
+def _costs(s) -> DataFrame:
+    """Made-up costs of the goals of all queries, so that SQL can make the same ones."""
+    goals = s.nodes.join(_goals(s).withColumnRenamed("goal", "uid"), "uid")
     goals = goals.select(F.col("uid").alias("goal"), *[F.col(k).alias(f"g_{k}") for k in "xyz"])
     far = F.sqrt(sum((F.col(k) - F.col(f"g_{k}")) ** 2 for k in "xyz"))
     return s.nodes.join(F.broadcast(goals), on=F.lit(True)).select("goal", F.col("uid").alias("node"), (3 * far + F.col("f6")).alias("cost"), (2 * far).alias("geo"), (2.7 * far + 0.1 * F.col("f13")).alias("pred"))
 
 
-def _rows(s, every=False) -> DataFrame:
-    return training.composite_target(_costs(s, every), s.nodes)
+def _rows(s) -> DataFrame:
+    return training.composite_target(_costs(s), s.nodes)
 
 
-@both
-def train_samples(s, every):
-    return training.samples(_costs(s, every), 700).select("goal", "node", *_q("cost"))
+@on_scene
+def train_samples(s):
+    return training.samples(_costs(s), 700).select("goal", "node", *_q("cost"))
 
 
-@both
-def composite_target(s, every):
-    return _rows(s, every).select("goal", "node", *_q("target"))
+@on_scene
+def composite_target(s):
+    return _rows(s).select("goal", "node", *_q("target"))
 
 
-@both
-def pointwise_loss(s, every):
-    return training.pointwise(_rows(s, every)).select("goal", *_q("mse", "over"))
+@on_scene
+def pointwise_loss(s):
+    return training.pointwise(_rows(s)).select("goal", *_q("mse", "over"))
 
 
-@both
-def ranking_loss(s, every):
-    return training.ranking(_rows(s, every)).select("goal", *_q("rank"))
+@on_scene
+def ranking_loss(s):
+    return training.ranking(_rows(s)).select("goal", *_q("rank"))
 
 
-@both
-def monotonic_loss(s, every):
-    return training.monotonic(_rows(s, every).where("true" if every else "node % 3 <> 0"), s.unified).select("goal", *_q("mono"))
+@on_scene
+def monotonic_loss(s):
+    return training.monotonic(_rows(s), s.unified).select("goal", *_q("mono"))
 
 
-@both
-def simple_loss(s, every):
-    return training.simple_loss(_rows(s, every)).select(*_q("loss"))
+@on_scene
+def simple_loss(s):
+    return training.simple_loss(_rows(s)).select(*_q("loss"))
 
 
-@both
-def total_loss(s, every):
-    rows = _rows(s, every)
+@on_scene
+def total_loss(s):
+    rows = _rows(s)
     ends = rows.groupBy("goal").agg(F.max("pred").alias("start_h"), F.min("pred").alias("goal_h"))
     return training.total_loss(rows, s.unified, ends).select("goal", *_q("bias", "loss"))
 
