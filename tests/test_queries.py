@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["class_counts", "node_features", "edges_knn", "hetero_edges", "snap_nodes", "corridor_tubes", "resample_polyline", "shortest_costs", "corridor_half_spaces", "corridor_shrink", "segment_clearance", "trajectory_metrics", "smooth_sweep", "train_samples", "monotonic_loss", "total_loss", "density_at_points", "hash_knn", "goal_cost_cache"]
+SOME = ["class_counts", "node_features", "edges_knn", "hetero_edges", "snap_nodes", "corridor_tubes", "resample_polyline", "shortest_costs", "corridor_half_spaces", "corridor_shrink", "segment_clearance", "trajectory_metrics", "smooth_sweep", "train_samples", "monotonic_loss", "total_loss", "density_at_points", "hash_knn", "goal_cost_cache", "fallback_smooth", "finite_points", "feature_distance", "train_tensors"]
 
 
 @pytest.fixture(scope="module")

@@ -104,6 +104,12 @@ def encode(nodes: DataFrame, edges: DataFrame, w: dict[str, np.ndarray]) -> Data
     return h
 
 
+def feature_distance(nodes: DataFrame, goals: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(qid, uid, h): distance from the position that a node's first three features hold to the goal."""
+    rows = nodes.select("uid", "f0", "f1", "f2").join(goals.select("qid", "g_x", "g_y", "g_z"), on=F.lit(True), how="inner")
+    return rows.select("qid", "uid", (F.sqrt(sum((F.col(f"f{n}") - F.col(f"g_{k}")) ** 2 for n, k in enumerate("xyz"))) * scale).alias("h"))
+
+
 def decode(h: DataFrame, nodes: DataFrame, goals: DataFrame, w: dict[str, np.ndarray], scale: float, w_unc: float = 0.5) -> DataFrame:
     """(qid, uid, h) for goals(qid, g_x, g_y, g_z): geometric distance, learned residual and uncertainty term."""
     rows = h.join(nodes.select("uid", "x", "y", "z", "f9"), "uid").join(goals.select("qid", "g_x", "g_y", "g_z"), on=F.lit(True), how="inner")

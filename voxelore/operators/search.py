@@ -7,6 +7,7 @@ A graph is sent to the workers only up to MAX_EDGES edges (about 300 MB); beyond
 from __future__ import annotations
 
 import heapq
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from voxelore.operators import paths
 
 MAX_EDGES = 5_000_000
+CLOCKED = 256
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,8 @@ class Costs:
     z_curvature: float = 1.8
     z_goal_soft: float = 1.4
     max_expand: int = 10_000
+    #: Seconds that one query's search may take; looked at before it and every CLOCKED nodes.
+    max_seconds: float = float("inf")
 
 
 class Graph:
@@ -55,6 +59,7 @@ def _to_segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def search(g: Graph, s: int, goal: int, start: np.ndarray, end: np.ndarray, h: np.ndarray, c: Costs) -> tuple[list[int], int, str, float]:
     """(unified ids of the path, expanded, reason, cost). Best-first by f = g + h with no reopening; ties by g, then type and local id."""
+    began = time.monotonic()
     z_mid = (start[2] + end[2]) / 2
     at_node = (c.z_reference + max(c.z_goal_soft, 0)) * np.abs(g.xyz[:, 2] - z_mid) + (c.line_bias * _to_segment(g.xyz, start, end) if c.line_bias else 0)
     edge = g.fixed + c.length_penalty * g.len + c.z_penalty * g.dz
@@ -62,6 +67,8 @@ def search(g: Graph, s: int, goal: int, start: np.ndarray, end: np.ndarray, h: n
     heap = [(h[s], 0.0, g.kind[s], g.local[s], s, -1)]
     expanded = 0
     while heap:
+        if expanded % CLOCKED == 0 and time.monotonic() - began >= c.max_seconds:
+            return [], expanded, "time limit", float("nan")
         _, cost, _, _, u, before = heapq.heappop(heap)
         if u in closed:
             continue

@@ -84,6 +84,22 @@ def resample_arc(points: DataFrame, step: float) -> DataFrame:
     return out.select("qid", F.col("k").alias("seq"), *[(F.col(f"a_{k}") + t * (F.col(f"b_{k}") - F.col(f"a_{k}"))).alias(k) for k in "xyz"])
 
 
+def finite(points: DataFrame) -> DataFrame:
+    """Points whose three coordinates are all finite; nulls, NaN and infinities go."""
+    ok = lambda k: F.abs(F.col(k)) < float("inf")  # noqa: E731  NaN is beyond infinity in this order
+    return points.where(ok("x") & ok("y") & ok("z"))
+
+
+def fallback_smooth(points: DataFrame, queries: DataFrame, step: float = 0.02) -> DataFrame:
+    """Each query's start and goal joined to its path where its ends are elsewhere, resampled evenly; the straight line without a path."""
+    at = lambda p, seq: queries.select("qid", F.lit(seq).alias("seq"), *[F.col(f"{p}_{k}").alias(k) for k in "xyz"])
+    ends = points.groupBy("qid").agg(F.min("seq").alias("first"), F.max("seq").alias("last")).join(queries, "qid")
+    rows = points.select("qid", F.col("seq").cast("long").alias("seq"), "x", "y", "z").join(ends, "qid")
+    away = lambda p: F.sqrt(sum((F.col(k) - F.col(f"{p}_{k}")) ** 2 for k in "xyz")) > 1e-9
+    rows = rows.where(((F.col("seq") != F.col("first")) | away("s")) & ((F.col("seq") != F.col("last")) | away("g"))).select("qid", "seq", "x", "y", "z")
+    return resample_arc(at("s", -(1 << 62)).unionByName(rows).unionByName(at("g", 1 << 62)), step)
+
+
 def metrics(points: DataFrame, obstacles: DataFrame) -> DataFrame:
     """(qid, n_points, path_length, min_collision_dist, smoothness): smoothness is the mean squared second difference (own definition)."""
     rows = points.withColumns({f"{p}_{k}": f(k).over(by_seq()) for k in "xyz" for p, f in (("p", F.lag), ("n", F.lead))})
@@ -214,7 +230,7 @@ def pchip(p: np.ndarray, n: int) -> np.ndarray:
 
 def optimise(points: DataFrame, free: DataFrame, obstacles: DataFrame, radius: float) -> DataFrame:
     """Repair, smooth and resample each path; the first of smoothed, repaired and gently smoothed whose samples are clear, else nothing."""
-    spark = points.sparkSession
+    spark, free = points.sparkSession, finite(free)
     if (n := free.count() + obstacles.count()) > MAX_POINTS:
         raise ValueError(f"{n} points are too many for one task; cut the scene to the path's surroundings first")
     shared = spark.sparkContext.broadcast(tuple(d.select("x", "y", "z").toPandas().sort_values(["x", "y", "z"]).to_numpy() for d in (free, obstacles)))

@@ -325,3 +325,18 @@ ORACLE_SQL |= {
         SELECT goal, {q('bias')}, {q('mse + over + 0.2::double * rank + 0.1::double * mono + 0.05::double * bias', 'loss')} FROM pw JOIN rk USING (goal) JOIN mo USING (goal) JOIN bi USING (goal)""",
     "read_pairs": """SELECT * FROM (VALUES (0, 0.0::double, 1.0::double, 2.0::double, 3.0::double, 4.0::double, 5.0::double), (1, 1, 1, 1, 2, 2, 2)) t(pair, s_x, s_y, s_z, g_x, g_y, g_z)""",
 }
+
+_ENDS = QUERY_ROWS.split(",\npts AS")[0]
+_JOINED = """
+eq AS (SELECT c.qid, s_x, s_y, s_z, g_x, g_y, g_z FROM cnt c JOIN qs ON qs.qid = c.qid % 6),
+al AS (SELECT qid, -1 AS seq, s_x AS x, s_y AS y, s_z AS z FROM eq UNION ALL SELECT qid, seq, x, y, z FROM pt UNION ALL SELECT qid, 1000000, g_x, g_y, g_z FROM eq),
+rn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY seq) AS k FROM al),
+joined AS (SELECT a.qid, a.k AS seq, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2) + pow(b.z - a.z, 2)) AS len
+           FROM rn a JOIN rn b ON a.qid = b.qid AND b.k = a.k + 1)"""
+
+ORACLE_SQL |= {
+    "fallback_smooth": _with(BASE, _PATHS, _ENDS, _JOINED) + ORACLE_SQL["resample_polyline"][len(_G) :].replace("FROM sgs", "FROM joined"),
+    "finite_points": B + f"SELECT gid, {qs('x', 'y', 'z')} FROM g WHERE gid % 7 > 2",
+    "feature_distance": P + f"SELECT qid::bigint AS qid, uid, {q('10 * sqrt(pow(f0 - g_x, 2) + pow(f1 - g_y, 2) + pow(f2 - g_z, 2))', 'h')} FROM n, qs",
+    "train_tensors": N + f"SELECT uid, {qs('x', 'y', 'z')}, k, {q('fs[k + 1]', 'value')} FROM (SELECT uid, x, y, z, [{', '.join(f'f{i}::double' for i in range(16))}] AS fs, unnest(range(16)) AS k FROM n)",
+}

@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxelore.functions.columns import quantised as q
-from voxelore.operators import classify, corridor, density, edges, features, hashgrid, network, paths, search, training, trajectory
+from voxelore.operators import classify, corridor, density, edges, features, hashgrid, learning, network, paths, search, training, trajectory
 from voxelore.operators.scene import bounds_filter, bounds_table, centers, scene_from_embeddings, with_inverse
 from voxelore.plans.standard import QUERIES, scene
+from voxelore.plans.store import written
 from voxelore.sources import scenes as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -410,14 +411,30 @@ def trial_summary(s):
     return trajectory.trial_summary(trials).select("planner", "n", *_q("success_rate", "mean_path_length", "std_path_length", "mean_min_collision_dist", "mean_smoothness"))
 
 
-@query
-def force_endpoints(spark, d):
+def _ends(s, points: DataFrame) -> DataFrame:
     """Paths take the scene's queries in turn."""
-    s = scene(spark, d)
-    points = _paths(s)
     turn = (F.col("path") % len(QUERIES)).alias("qid")
-    ends = points.select(F.col("qid").alias("path")).distinct().select("path", turn).join(s.queries, "qid").drop("qid").withColumnRenamed("path", "qid")
-    return _xyz(trajectory.force_ends(points, ends))
+    return points.select(F.col("qid").alias("path")).distinct().select("path", turn).join(s.queries, "qid").drop("qid").withColumnRenamed("path", "qid")
+
+
+@on_scene
+def force_endpoints(s):
+    points = _paths(s)
+    return _xyz(trajectory.force_ends(points, _ends(s, points)))
+
+
+@on_scene
+def fallback_smooth(s):
+    points = _paths(s)
+    return _xyz(trajectory.fallback_smooth(points, _ends(s, points), 0.05))
+
+
+@on_scene
+def finite_points(s):
+    """Of all Gaussians, with some coordinates made NaN, infinite and null."""
+    turn = F.col("gid") % 7
+    x = F.when(turn == 0, float("nan")).when(turn == 1, float("-inf")).when(turn == 2, F.lit(None).cast("double")).otherwise(F.col("x"))
+    return trajectory.finite(s.gaussians.select("gid", x.alias("x"), "y", "z")).select("gid", *_q("x", "y", "z"))
 
 
 def _found(s) -> DataFrame:
@@ -475,6 +492,35 @@ def attention_decode(spark, d):
     return network.decode(h, s.nodes, s.queries, network.new_weights(), 10.0)
 
 
+@on_scene
+def feature_distance(s):
+    return network.feature_distance(s.nodes, s.queries, 10.0).select("qid", "uid", *_q("h"))
+
+
+@query
+def train_tensors(spark, d):
+    s = scene(spark, d)
+    x, _ = learning.training_tensors(s.nodes, s.unified)
+    rows = x.select("uid", "x", "y", "z", F.posexplode("features").alias("k", "value"))
+    return rows.select("uid", F.col("k").cast("long").alias("k"), *_q("x", "y", "z", "value"))
+
+
+TRAIN_EPOCHS, TRAIN_BUDGET = 2, 700
+
+
+@query
+def train_network(spark, d):
+    """Loss of each epoch over the scene's queries whose start and goal are near a node."""
+    s = scene(spark, d)
+    near = paths.snap(s.points, s.nodes, s.grid).where(F.col("d") <= paths.MAX_SNAP).select("pid", "uid")
+    start, goal = (near.where(F.col("pid") % 2 == k).select(F.floor(F.col("pid") / 2).alias("qid"), F.col("uid").alias(n)) for k, n in ((0, "start"), (1, "goal")))
+    ends = start.join(goal, "qid").join(s.queries, "qid").select("goal", "start", "g_x", "g_y", "g_z")
+    rows = written(learning.labels(s.unified, s.nodes, ends.select("goal").distinct(), TRAIN_BUDGET), "train-labels")
+    state = learning.state_table(spark, learning.new_state(network.new_weights()))
+    scale = paths.cost_scale(s.hetero, s.grid.voxel_size).first()[0]
+    return learning.epoch_losses(learning.train(rows, ends, s.nodes, s.unified, state, scale, TRAIN_EPOCHS))
+
+
 @query
 def load_weights(spark, d):
     own = network.weight_table(spark, network.new_weights())
@@ -542,6 +588,12 @@ def random_queries(spark, d):
     return sources.random_queries(spark, g.lower, g.upper, 50)
 
 
+@query
+def baseline_queries(spark, d):
+    g = scene(spark, d).grid
+    return sources.baseline_queries(spark, g.lower, g.upper)
+
+
 @query
 def read_pairs(spark, d):
     text = '[{"start": [0, 1, 2], "goal": [3, 4, 5]}, [[1, 1, 1], [2, 2, 2]], 7, {"start": [1]}, "x"]'

@@ -94,6 +94,11 @@ def random_queries(spark: SparkSession, lower: tuple, upper: tuple, n: int, marg
     raise ValueError(f"no {n} pairs at least {least} apart within the bounds")
 
 
+def baseline_queries(spark: SparkSession, lower: tuple, upper: tuple, n: int = 50, seed: int = 42) -> DataFrame:
+    """Queries of the baselines: as `random_queries`, with a margin of a tenth of the greatest extent."""
+    return random_queries(spark, lower, upper, n, margin=0.1 * max(u - lo for lo, u in zip(lower, upper, strict=True)), seed=seed)
+
+
 def scene_config(config: dict, scene: str | None) -> dict:
     """Settings with a scene's overrides: known scalars replace, the `edge` settings merge key by key."""
     base, own = dict(config.get("gs_to_graph", {})), (config.get("scenes", {}).get(scene) or {}) if scene else {}
