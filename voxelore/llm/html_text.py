@@ -11,8 +11,8 @@ and where visibility is hidden or collapse (which descendants can undo). Declara
 for selectors of one tag, class or id, from style sheets of the page; the more specific selector wins, then the later.
 
 Defined cases: null or empty markup gives an empty text. Unknown and stray end tags are ignored, unclosed elements end
-with their parents, an unfinished tag at the end is text. Depth is bounded by DEPTH: deeper elements become siblings, so
-that no page can exhaust the stack. Repeated rows and null ids are rendered like any other; empty tables give empty results.
+with their parents, an unfinished tag is text. Depth is bounded by DEPTH: deeper elements become siblings, so
+that no page can exhaust the stack; tags are found in time proportional to the markup. Repeated rows and null ids are rendered like any other; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -56,9 +56,9 @@ SCOPE = {
 P_SCOPE = frozenset("table td th caption html button object li".split())
 HEAD_ONLY = frozenset("title meta link base style script template noscript".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_SPECIAL, _NAME_END = re.compile(r"[>\"']"), re.compile(r"[\s/>]")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_RULE = re.compile(r"(?<![^{}])([^{}]++)\{([^{}]*+)\}")
 _SIMPLE = re.compile(r"([.#]?)([a-zA-Z_][\w-]*)\Z")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -77,36 +77,88 @@ def _attrs(raw: str) -> dict[str, str]:
     return found
 
 
+class Tags:
+    """Finds tags, comments and declarations in time proportional to the markup, whatever it holds.
+
+    A tag ends at the first > outside quotes. Where there is none, the < is text; the quotes and ends that such a search
+    came by lead nowhere for later searches either and are remembered.
+    """
+
+    def __init__(self, markup: str):
+        self.markup, self.dead = markup, set()
+        self.last = markup.rfind(">") + 1
+        #: (pattern: a place, and the first match from there on), as later searches mostly start between the two.
+        self.seen = {_SPECIAL: (0, -1), _NAME_END: (0, -1)}
+
+    def _first(self, pattern: re.Pattern, at: int) -> int:
+        lo, found = self.seen[pattern]
+        if not lo <= at <= found:
+            m = pattern.search(self.markup, at)
+            found = m.start() if m else len(self.markup)
+            self.seen[pattern] = at, found
+        return found
+
+    def _close(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends at `at`, or -1."""
+        came_by, n = [], len(self.markup)
+        while True:
+            k = self._first(_SPECIAL, at)
+            if k == n or k in self.dead:
+                break
+            if self.markup[k] == ">":
+                return k
+            came_by.append(k)
+            at = self.markup.find(self.markup[k], k + 1) + 1
+            if not at:
+                break
+        self.dead.update(came_by)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str]:
+        """(start, end, whether an end tag, name, attributes) from `at` on; the name is empty for all that isn't a tag."""
+        text, n = self.markup, len(self.markup)
+        look = at
+        while (start := text.find("<", look)) >= 0:
+            if text.startswith("<!--", start):
+                end = text.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else n, False, "", ""
+            if text.startswith(("<!", "<?"), start):
+                end = text.find(">", start + 2)
+                return start, end + 1 if end >= 0 else n, False, "", ""
+            name = start + 1 + text.startswith("/", start + 1)
+            if name < n and text[name].isascii() and text[name].isalpha() and start < self.last:
+                ends = self._first(_NAME_END, name)
+                if (close := self._close(ends)) >= 0:
+                    return start, close + 1, name > start + 1, text[name:ends], text[ends:close]
+            look = start + 1
+        return n, n, False, "", ""
+
+
 class Tree:
     """Builds the element tree; `sheets` collects the text of style elements."""
 
     def __init__(self, markup: str):
         self.root = Node("html")
         self.stack, self.sheets, self.body = [self.root], [], None
-        at, n = 0, len(markup)
+        at, n, tags = 0, len(markup), Tags(markup)
         while at < n:
-            m = _TOKEN.search(markup, at)
-            if m is None:
-                self._text(markup[at:])
-                break
-            if m.start() > at:
-                self._text(markup[at : m.start()])
-            at = m.end()
-            tag = m[2]
+            start, after, end_tag, tag, attrs = tags.next(at)
+            if start > at:
+                self._text(markup[at:start])
+            at = after
             if not tag:
                 continue
             tag = tag.lower()
-            if m[1]:
+            if end_tag:
                 self._end(tag)
                 continue
-            attrs = m[3]
             node = self._start(tag, _attrs(attrs) if attrs.strip(" /\t\n\r") else {})
             if attrs.endswith("/") and self._foreign():
                 if self.stack[-1] is node:
                     self.stack.pop()
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(markup, at)
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(markup, at, tags.last)
                 inner = markup[at : close.start() if close else n]
                 at = close.end() if close else n
                 if tag == "style":
@@ -209,7 +261,7 @@ class Styles:
     def __init__(self, sheets: list[str]):
         self.by: dict[str, dict[str, dict[str, str]]] = {"": {}, ".": {}, "#": {}}
         for sheet in sheets:
-            for selectors, css in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
+            for selectors, css in _RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
                 if found := _declared(css):
                     for one in selectors.split(","):
                         if m := _SIMPLE.match(one.strip()):
