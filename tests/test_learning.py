@@ -1,11 +1,14 @@
 """Training of the heuristic network, checkpoints, and the operators around search and smoothing."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from voxelore.operators import learning, network, search, training, trajectory
+from voxelore.plans import store
 from voxelore.plans.standard import scene
 from voxelore.sources import scenes as sources
 
@@ -135,6 +138,18 @@ def test_search_stops_at_its_time(spark):
     assert search.search(graph, 0, len(h) - 1, a, b, h, search.Costs(max_seconds=3600))[2] != "time limit"
 
 
+def test_a_cluster_needs_a_shared_folder():
+    def session(master, folder):
+        nothing = SimpleNamespace(isDefined=lambda: False)
+        jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: nothing))
+        context = SimpleNamespace(master=master, _jsc=jsc, getConf=lambda: {}, setCheckpointDir=lambda path: None)
+        return SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=context)
+
+    assert store.shared_dir(session("spark://a:7077", "hdfs://b/c/")) == "hdfs://b/c"
+    with pytest.raises(RuntimeError):
+        store.shared_dir(session("spark://a:7077", None))
+
+
 def test_baseline_queries(spark):
     rows = sources.baseline_queries(spark, (0.0, 0.0, 0.0), (2.0, 1.0, 1.0)).collect()
     assert len(rows) == 50

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests on one machine), a fresh local one."""
+    """The folder named by spark.checkpoint.dir; only where that is unset and all runs on one machine, a fresh local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
     used = spark.sparkContext._jsc.sc().getCheckpointDir()
     if used.isDefined():
         return used.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="voxelore-")
     spark.sparkContext.setCheckpointDir(own)
     return own
