@@ -1,39 +1,5 @@
-"""Tables in the folder that driver and executors share, for cutting lineage and for recovery from lost executors."""
+"""Tables in the folder that driver and executors share."""
 
-from __future__ import annotations
+from voxelore.plans.store import new_path, remove, shared_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests on one machine), a fresh local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    used = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if used.isDefined():
-        return used.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="voxelore-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write as Parquet to the shared folder and read back with the same schema."""
-    spark = df.sparkSession
-    path = path or new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["new_path", "remove", "shared_dir", "written"]
