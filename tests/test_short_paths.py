@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 
 @pytest.mark.parametrize("rows", [24 + 1, 24 + 2])
-@pytest.mark.parametrize("name", ["trajectory_metrics"])
+@pytest.mark.parametrize("name", ["trajectory_metrics", "trial_summary"])
 def test_last_path_is_short(spark, tmp_path, name, rows):
     t = pq.read_table("/root/testdata/sf0.001/embeddings.parquet").sort_by("vec_id").slice(0, rows)
     pq.write_table(t, tmp_path / "embeddings.parquet")
