@@ -13,6 +13,12 @@ def quantised(c: Column | str, scale: float = 1e6) -> Column:
     return F.floor(c * F.lit(scale) + F.lit(0.5)).cast("long")
 
 
+def steady_sum(c: Column, parts: float = 2.0**20) -> Column:
+    """A sum of doubles that doesn't depend on their order: multiples of 1/parts add up without rounding, the rests hardly round."""
+    whole = F.rint(c * F.lit(parts)) / F.lit(parts)
+    return F.sum(whole) + F.sum(c - whole)
+
+
 def distance(a: str, b: str) -> Column:
     """Between points in the columns a_x, a_y, a_z and b_x, b_y, b_z; an empty prefix stands for x, y, z."""
     at = lambda p, k: F.col(f"{p}_{k}" if p else k)

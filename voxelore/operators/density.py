@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelore.functions.columns import steady_sum
 from voxelore.operators.scene import Grid, centers, with_inverse
 
 LIMIT, TRUNCATION = 1e6, 3.0
@@ -51,7 +52,7 @@ def _sums() -> list[Column]:
         "y": F.col("ixy") * F.col("dx") + F.col("iyy") * F.col("dy") + F.col("iyz") * F.col("dz"),
         "z": F.col("ixz") * F.col("dx") + F.col("iyz") * F.col("dy") + F.col("izz") * F.col("dz"),
     }
-    return [F.sum(F.col("w") * kernel).alias("rho"), *[F.sum(-F.col("wg") * kernel * c).alias(f"g{k}") for k, c in pull.items()]]
+    return [steady_sum(F.col("w") * kernel).alias("rho"), *[steady_sum(-F.col("wg") * kernel * c).alias(f"g{k}") for k, c in pull.items()]]
 
 
 def density_field(gaussians: DataFrame, grid: Grid) -> DataFrame:
