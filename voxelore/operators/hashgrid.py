@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Gaussians in a list, pairs that a task writes and tasks at most.
+LISTED, PAIRS_A_TASK, MOST_TASKS = 4096, 10_000_000, 20_000
 
 def _cells(df: DataFrame, radius: Column, origin: dict[str, float], cell: float) -> DataFrame:
     for k in "xyz":
@@ -29,10 +31,41 @@ def build(gaussians: DataFrame, cell: float, origin: dict[str, float]) -> DataFr
     return _cells(gaussians, reach(), origin, cell).select("cx", "cy", "cz", "gid")
 
 
-def candidates(table: DataFrame, points: DataFrame, cell: float, origin: dict[str, float], radius: float | None = None) -> DataFrame:
-    """points(pid, x, y, z) -> distinct (pid, gid) that share a cell."""
-    own = _cells(points, F.lit(cell if radius is None else radius), origin, cell).select("pid", "cx", "cy", "cz")
-    return own.join(table, ["cx", "cy", "cz"]).select("pid", "gid").distinct()
+def _boxed(df: DataFrame, key: str, radius: Column, origin: dict[str, float], cell: float) -> DataFrame:
+    """(key, box): the first and last cells on each axis that the rows touch; rows with a null coordinate touch none."""
+    ends = [f((F.col(k) + sign * radius - origin[k]) / cell).cast("long").alias(f"{e}{k}") for k in "xyz" for e, f, sign in (("lo", F.floor, -1), ("hi", F.ceil, 1))]
+    return df.where(" and ".join(f"{k} is not null" for k in "xyz")).select(key, F.struct(*ends).alias("box"))
+
+
+def _in_cells(boxes: DataFrame) -> DataFrame:
+    for k in "xyz":
+        boxes = boxes.withColumn(f"c{k}", F.explode(F.sequence(f"box.lo{k}", f"box.hi{k}")))
+    return boxes
+
+
+def candidates(gaussians: DataFrame, points: DataFrame, cell: float, origin: dict[str, float], radius: float | None = None) -> DataFrame:
+    """points(pid, x, y, z) -> distinct (pid, gid) that share a cell.
+
+    Cells are compared once for each pair of different boxes, in the least cell that both hold. Each set of boxes that a
+    point has gets lists of its Gaussians, LISTED on average at most, that are exploded beside the points with that set.
+    """
+    own = _boxed(points, "pid", F.lit(cell if radius is None else radius), origin, cell)
+    own = own.groupBy("pid").agg(F.sort_array(F.collect_set("box")).alias("boxes"))
+    other = _boxed(gaussians, "gid", reach(), origin, cell).distinct()
+    n_own, n_other = own.count(), other.count()
+    n_lists, tasks = -(-max(n_other, 1) // LISTED), min(1 + n_own * n_other // PAIRS_A_TASK, MOST_TASKS)
+    least = F.lit(True)
+    for k in "xyz":
+        least = least & (F.col(f"c{k}") == F.greatest(f"box.lo{k}", f"g_box.lo{k}"))
+    sets = _in_cells(own.select("boxes").distinct().withColumn("box", F.explode("boxes")))
+    cells = _in_cells(other.select("box").distinct()).withColumnRenamed("box", "g_box")
+    meet = sets.join(cells, ["cx", "cy", "cz"]).where(least).select("boxes", "g_box")
+    part = F.pmod(F.xxhash64("gid"), F.lit(n_lists)).alias("part")
+    lists = meet.join(other.withColumnRenamed("box", "g_box"), "g_box").groupBy("boxes", part).agg(F.collect_set("gid").alias("gids"))
+    # The number of tasks follows the pairs, as the lists themselves are small.
+    rows = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_lists - 1)).cast("array<bigint>")))
+    both = rows.repartition(tasks, "boxes", "part").join(lists.repartition(tasks, "boxes", "part"), ["boxes", "part"])
+    return both.select("pid", F.explode("gids").alias("gid"))
 
 
 def nearest(found: DataFrame, points: DataFrame, gaussians: DataFrame, k: int) -> DataFrame:

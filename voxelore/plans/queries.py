@@ -241,14 +241,14 @@ def hash_build(spark, d):
 
 @on_scene
 def hash_candidates(s):
-    _, points, table, origin = _hash(s)
-    return hashgrid.candidates(table, points, HASH_CELL, origin, 0.05)
+    g, points, _, origin = _hash(s)
+    return hashgrid.candidates(g, points, HASH_CELL, origin, 0.05)
 
 
 @on_scene
 def hash_knn(s):
-    g, points, table, origin = _hash(s)
-    return hashgrid.nearest(hashgrid.candidates(table, points, HASH_CELL, origin, 0.05), points, g, 5).select("pid", F.col("rank").cast("long").alias("rank"), "gid", *_q("d"))
+    g, points, _, origin = _hash(s)
+    return hashgrid.nearest(hashgrid.candidates(g, points, HASH_CELL, origin, 0.05), points, g, 5).select("pid", F.col("rank").cast("long").alias("rank"), "gid", *_q("d"))
 
 
 @query
