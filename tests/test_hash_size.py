@@ -43,3 +43,12 @@ def test_candidates_are_made_once(spark, odd, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     # No step sees the pairs again after they are made: before, they were made once for each shared cell and then made distinct.
     assert "Aggregate [pid" not in plan.split("Generate explode(gids")[0]
+
+
+def test_nearest_are_looked_for_nearby(spark, odd, monkeypatch):
+    against_sql(spark, odd, "hash_knn")
+    asked, whole = [], hashgrid.candidates
+    monkeypatch.setattr(hashgrid, "candidates", lambda a, points, *more: (asked.append(points.count()), whole(a, points, *more))[1])
+    against_sql(spark, "/root/testdata/sf0.1", "hash_knn")
+    n = scene(spark, "/root/testdata/sf0.1").gaussians.count()
+    assert asked and asked[0] < n / 4  # the others' neighbours come from nearby cells

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxelore.plans.store import written
+
 #: Gaussians in a list, pairs that a task writes and tasks at most.
 LISTED, PAIRS_A_TASK, MOST_TASKS = 4096, 10_000_000, 20_000
 
@@ -68,14 +70,48 @@ def candidates(gaussians: DataFrame, points: DataFrame, cell: float, origin: dic
     return both.select("pid", F.explode("gids").alias("gid"))
 
 
-def nearest(found: DataFrame, points: DataFrame, gaussians: DataFrame, k: int) -> DataFrame:
-    """(pid, rank, gid, d): the k candidates with the nearest means, ties by gid."""
-    at = gaussians.select("gid", *[F.col(a).alias(f"g_{a}") for a in "xyz"])
-    d = F.sqrt(sum((F.col(a) - F.col(f"g_{a}")) ** 2 for a in "xyz"))
-    rows = found.join(points, "pid").join(at, "gid").select("pid", "gid", d.alias("d"))
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("pid").orderBy("d", "gid"))).where(F.col("rank") <= k)
 
 
+def _with_d(points: DataFrame, gaussians: DataFrame, on: str | list[str]) -> DataFrame:
+    at = gaussians.withColumnsRenamed({a: f"g_{a}" for a in "xyz"})
+    d = F.sqrt(sum((F.col(a) - F.col(f"g_{a}")) ** 2 for a in "xyz"))
+    return points.join(at, on).withColumn("d", d)
+
+
+def nearest(gaussians: DataFrame, points: DataFrame, cell: float, origin: dict[str, float], radius: float, k: int) -> DataFrame:
+    """(pid, rank, gid, d): the k candidates with the nearest means, ties by gid.
+
+    A point looks among the Gaussians of 27 finer cells of an edge that suits the density about it. If k are nearer than that edge,
+    none nearer is elsewhere, and as the edge is under the radius and the least reach together, all of them are candidates.
+    All other points, in thin parts, have all their candidates compared.
+    """
+    at = gaussians.select("gid", "x", "y", "z")
+    n, least = gaussians.agg(F.count(F.lit(1)), F.min(reach())).first()
+    edge = 0.999 * (radius + (least or 0.0))
+    levels = min(20, n.bit_length() // 3)
+    size = F.lit(edge) / F.pow(F.lit(2.0), F.col("level"))
+    fine = lambda df: df.withColumns({f"c{a}": F.floor(F.col(a) / size) for a in "xyz"})
+    everywhere = lambda df: fine(df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))))
+    key = ["level", "cx", "cy", "cz"]
+    # Of equal means only the k least gids can be among the nearest.
+    some = everywhere(at.withColumn("n", F.row_number().over(W.partitionBy("x", "y", "z").orderBy("gid"))).where(F.col("n") <= k).drop("n"))
+    full = some.groupBy(*key).count().where(F.col("count") >= k).drop("count")
+    once = points.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), *[F.first(a).alias(a) for a in "xyz"]).where("n = 1").drop("n")
+    level = everywhere(once).join(full, key).groupBy("pid").agg(F.max("level").alias("level"), *[F.first(a).alias(a) for a in "xyz"])
+    around = fine(level)
+    for a in "xyz":
+        around = around.withColumn(f"c{a}", F.explode(F.array(*[F.col(f"c{a}") + s for s in (-1, 0, 1)])))
+    found = _ranked(_with_d(around, some, key).select("pid", "gid", "d", "level"), k)
+    ends = W.partitionBy("pid")
+    found = found.withColumns({"n": F.count(F.lit(1)).over(ends), "far": F.max("d").over(ends)})
+    found = written(found.where((F.col("n") == k) & (F.col("far") < size * (1 - 1e-9))).select("pid", "rank", "gid", "d"), "hash-near")
+    rest = written(points.join(found.where("rank = 1").select("pid"), "pid", "left_anti"), "hash-rest")
+    pairs = candidates(gaussians, rest, cell, origin, radius).join(rest, "pid")
+    return found.unionByName(_ranked(_with_d(pairs, at, "gid"), k).select("pid", "rank", "gid", "d"))
+
+
 def stats(table: DataFrame) -> DataFrame:
     per = table.groupBy("cx", "cy", "cz").agg(F.count(F.lit(1)).alias("n"))
     return per.agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("n_entries"), F.max("n").alias("max_per_cell"), *[(F.max(f"c{k}") + 1).alias(f"dim_{k}") for k in "xyz"])

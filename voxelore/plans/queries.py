@@ -248,7 +248,7 @@ def hash_candidates(s):
 @on_scene
 def hash_knn(s):
     g, points, _, origin = _hash(s)
-    return hashgrid.nearest(hashgrid.candidates(g, points, HASH_CELL, origin, 0.05), points, g, 5).select("pid", F.col("rank").cast("long").alias("rank"), "gid", *_q("d"))
+    return hashgrid.nearest(g, points, HASH_CELL, origin, 0.05, 5).select("pid", F.col("rank").cast("long").alias("rank"), "gid", *_q("d"))
 
 
 @query
