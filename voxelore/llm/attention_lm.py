@@ -13,9 +13,8 @@ before it (64 ids), so windows overlap by half and every id is scored once, in b
 Learning covers every training text: word and subword counts are taken over all of them. The parameters start from a
 sample of START_WINDOWS windows at most (their initial value only) and are then refined on windows of all training texts,
 each task on its own, at most MODELS of them, the parameters being averaged by a distributed aggregate. The refinement
-predicts the ids of one block in STRIDE of every text, from an offset that differs from text to text, so that beginnings,
-middles and ends are learned from alike and what is learned from grows in proportion to the input. The README has the
-bits a word for other strides.
+predicts every id of every training text once: STRIDE is 1. A larger one would predict one block in STRIDE, from an offset
+that differs from text to text.
 
 Texts are tokenised once, into a table of ids in the shared folder that both learning and scoring read. What is sent to the
 workers is bounded: the HOT_WORDS most frequent words' counts for the base score, the vocabulary and the parameters. Words
@@ -46,7 +45,7 @@ from pyspark.sql import functions as F
 from voxelore.llm.packing import ids_of, vocabulary_path
 from voxelore.llm.store import written
 
-FOLDS, HOT_WORDS, START_WINDOWS, START_EPOCHS, STRIDE, MODELS = 10, 150_000, 48_000, 3, 8, 4096
+FOLDS, HOT_WORDS, START_WINDOWS, START_EPOCHS, STRIDE, MODELS = 10, 150_000, 48_000, 3, 1, 4096
 IDS, CLASS, DIM, WIDE, BLOCK = 4096, 64, 24, 48, 32
 RARE, END, PAD = 0, 1, 65_535
 RATE, REFINE_RATE, STEP_WINDOWS, SHUFFLED = 6e-3, 1.5e-3, 256, 8192
