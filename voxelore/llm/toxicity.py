@@ -7,7 +7,7 @@ The model is fitted on a bounded sample of labelled rows, TOXIC_ROWS toxic and C
 order of a hash of the id. All terms of at least three of its documents are kept, as a term that tells nothing alone may do
 so in a pair; only beyond MOST_TERMS the ones that differ least between the classes go. A term's value is the square of its
 gap, cut to [LEAST_VALUE, 1] as parts of FULL_GAP, so that many neutral terms don't drown the telling ones. The sample's intercept is corrected
-to the labels' true share.
+to the labels' true share. The steps are taken in one task on an executor; the driver holds the terms and the weights.
 
 Defined cases: a null text is the empty text, which gets the intercept's score. Null labels and ids without a text teach
 nothing. If the labels lack a class, all scores are the share of toxic labels (0 without labels). Repeated ids are scored
@@ -151,6 +151,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, x: np.ndarray, share: float,
     return w0 + float(np.log(share / (1 - share)) - np.log(own / (1 - own))), w * x, v * x[:, None]
 
 
+def _fit_rows(x: np.ndarray, share: float):
+    """The intercept, the weights and the factors, one after another, fitted in one task on the rows of terms."""
+
+    def fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        got.sort()  # the order of the rows must not depend on partitions
+        w0, w, v = fit([np.frombuffer(r, "<i4") for _, r in got], np.array([k for k, _ in got], float), x, share)
+        flat = np.concatenate([[w0], w, v.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["k", "value"])
+
+    return fit_rows
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> Model:
     """Fit on the labelled rows outside fold 0."""
     none = np.array([], np.int64)
@@ -173,13 +186,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pooled = (F.col("t") + F.col("c")) / (n1 + n0)
     gap = F.abs(F.col("t") / n1 - F.col("c") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
     counted = written(counted.select("term", (F.col("t") + F.col("c")).alias("df"), gap.alias("gap")).where("df >= 3"), "toxicity-terms")
-    kept = sorted(map(tuple, counted.select("term", "gap").orderBy(F.desc("gap"), "term").limit(MOST_TERMS).collect()))
-    terms, gaps = np.array([k for k, _ in kept], np.int64), np.array([g for _, g in kept], float)
-    got = sample.mapInArrow(_active(terms), "toxic int, rows binary").collect()
-    got.sort(key=lambda r: (r.toxic, bytes(r.rows)))  # the order of the rows must not depend on partitions
-    rows = [np.frombuffer(bytes(r.rows), "<i4") for r in got]
-    w0, w, v = fit(rows, np.array([r.toxic for r in got], float), np.clip((gaps / FULL_GAP) ** 2, LEAST_VALUE, 1), n_toxic / n)
-    return Model(terms, w0, w, v)
+    if counted.count() > MOST_TERMS:
+        counted = written(counted.orderBy(F.desc("gap"), "term").limit(MOST_TERMS), "toxicity-most-terms")
+    kept = counted.select("term", "gap").toArrow()
+    terms, gaps = kept.column("term").to_numpy(), kept.column("gap").to_numpy()
+    order = np.argsort(terms)
+    terms, x = terms[order], np.clip((gaps[order] / FULL_GAP) ** 2, LEAST_VALUE, 1)
+    # The documents and the state of the fit stay off the driver, which gets the weights alone.
+    active = written(sample.mapInArrow(_active(terms), "toxic int, rows binary"), "toxicity-rows")
+    fitted = active.coalesce(1).mapInArrow(_fit_rows(x, n_toxic / n), "k long, value double").toArrow()
+    flat = np.empty(fitted.num_rows)
+    flat[fitted.column("k").to_numpy()] = fitted.column("value").to_numpy()
+    return Model(terms, float(flat[0]), flat[1 : 1 + len(terms)], flat[1 + len(terms) :].reshape(-1, FACTORS))
 
 
 def _scores(model: Model):
