@@ -29,7 +29,12 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Without it each state partition takes 4 MB of disk before it holds a row.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # A second file and its renames for each file of a state that is removed after the stream; the file system has its own sums.
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
 }
+#: Keys in a partition of the state. Each partition is a RocksDB instance of its own, which costs memory, files and (for
+#: files on local disks, whose modes and links Hadoop handles by commands) processes in each micro-batch, however few its rows.
+STATE_ROWS = 50_000
 #: The filter of byte checks has so many buckets at most, whatever the size of the input: about 8 MB as a broadcast.
 HIT_BUCKETS = 1 << 20
 
@@ -59,10 +64,13 @@ def run_state(keys_path: str, schema, spark: SparkSession, micro_batches: int) -
     """Stream the staged keys through the keyed state; returns a row for each digest: head (id, file, position) and n."""
     updates, checkpoint = new_path(spark, "exact-updates"), new_path(spark, "exact-state")
     files = len(spark.read.schema(schema).parquet(keys_path).inputFiles())
+    rows = spark.read.schema(schema).parquet(keys_path).count() if files else 0
+    partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // STATE_ROWS)))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // micro_batches))).parquet(keys_path)
     state = stream.groupBy("digest").agg(F.max(F.struct("id", "file", "position")).alias("head"), F.count(F.lit(1)).alias("n"))
-    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
-    for k, v in STATE_CONF.items():
+    conf = STATE_CONF | {"spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         query = (
